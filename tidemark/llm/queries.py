@@ -28,4 +28,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(chats, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op8_chat_format)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import near_duplicate_classes
+
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_url_filter, op8_chat_format, op10_ngram_join)}
