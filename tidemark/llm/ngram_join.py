@@ -9,10 +9,10 @@ still reach is at least the smallest that two sets of its sizes need. Three exac
 * a shared column at positions i and j leaves an overlap of ``min(n1 - i, n2 - j)`` at most;
 * two sets differ in at least as many shingles as their parity bitmaps differ in bits.
 
-For the pairs that are left, overlaps are accumulated over the full rows. Links are found in two rounds:
-first neighbours within each column in three orders, then every pair whose ends are not yet connected, so a
-group of near copies costs links in proportion to its size, yet no connection is missed. ``links=True``
-skips that saving and returns every link between different sets.
+For the pairs that are left, overlaps are accumulated over the full rows. Links are found in rounds: first
+each set with its neighbour by size and with one hub of the column, then with further hubs, then every pair
+whose ends are still not connected. So a group of near copies costs links in proportion to its size, yet no
+connection is missed. ``links=True`` skips that saving and returns every link between different sets.
 
 Results for unusual input: null and blank texts have an empty set and link with nothing; equal rows link
 with each other; a text of any length is one row; an empty table gives an empty table; columns besides
@@ -34,19 +34,21 @@ from tidemark.llm.shingles import N_WORDS, all_shingle_sets, mix
 
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Bits of a parity bitmap, as 64-bit words.
-BITMAP_WORDS = 32
+#: 64-bit words of a parity bitmap.
+BITMAP_WORDS = 16
 #: At most so many of the most frequent shingles go last in the order; 12 bytes each are broadcast.
 FREQUENT = 1 << 17
 #: Matrix entries in a block of columns, and in one part of a column (longer ones are split).
-BLOCK, PART = 250_000, 20_000
+BLOCK, PART = 150_000, 4_000
 #: Bits of the filter that spares the shuffle of texts in no pair; its size is fixed.
 FILTER_BITS = 1 << 23
 #: Members verified against a set in one group.
 FAN = 256
+#: Rounds that link sets with hubs before all pairs between groups are looked at.
+HUB_ROUNDS = 2
 
 _U = np.uint64
-_ROW = "kind int, doc_id long, n long, k1 long, k2 long, bitmap array<long>"
+_ROW = "kind int, doc_id long, n long, k1 long, k2 long, bitmap binary"
 
 
 def _need(total, percent: int):
@@ -65,9 +67,18 @@ def _keys(own: np.ndarray) -> tuple[int, int]:
         return tuple(mix(sums + _U(len(own))).view(np.int64).tolist())
 
 
-def _bitmap(own: np.ndarray) -> list[int]:
+def _bitmap(own: np.ndarray) -> bytes:
     odd = np.bincount((own % _U(BITMAP_WORDS * 64)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _bitmaps(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), _U).reshape(-1, BITMAP_WORDS)
+
+
+def _near(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these bitmaps and so many shingles in total can be similar enough."""
+    return np.bitwise_count(a ^ b).sum(-1) <= total - 2 * _need(total, percent)
 
 
 def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
@@ -195,72 +206,97 @@ def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame({"ka": np.minimum(a, b), "kb": np.maximum(a, b)}).drop_duplicates()
 
 
+def _hubs(e: np.ndarray, seed: int) -> np.ndarray:
+    """For each entry, sorted by column, the place of its column's hub: the set that comes first in an order by hash."""
+    with np.errstate(over="ignore"):
+        order = np.lexsort((mix(np.ascontiguousarray(e["k"]).view(_U) + _U(seed) * _U(0x9E3779B97F4A7C15)), e["h"]))
+    h = e["h"][order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    hub = order[np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))]
+    out = np.empty(len(e), np.int64)
+    out[order] = hub
+    return out
+
+
 def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the first round: neighbours within a column, by size and in two orders of its own."""
+    """Candidate pairs of the first round: neighbours by size in a column, and each entry with the column's hub."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for payload in batch["payload"]:
-                e, found = _unpack(payload), []
-                k, h = e["k"].view(_U) if e["k"].flags.contiguous else np.ascontiguousarray(e["k"]).view(_U), e["h"]
-                for order in (slice(None), np.lexsort((mix(k ^ h), h)), np.lexsort((mix(k + h * _U(3)), h))):
-                    x = e[order]
-                    a, b = x[:-1], x[1:]
-                    ok = (a["h"] == b["h"]) & _can(a, b, percent)
-                    found.append((a["k"][ok], b["k"][ok]))
-                yield _unique_pairs(found)
+                e = _unpack(payload)
+                a, b, hub = e[:-1], e[1:], e[_hubs(e, 0)]
+                beside, below = (a["h"] == b["h"]) & _can(a, b, percent), _can(e, hub, percent)
+                yield _unique_pairs([(a["k"][beside], b["k"][beside]), (e["k"][below], hub["k"][below])])
 
     return shared.mapInPandas(rows, "ka long, kb long").distinct()
 
 
-def _others(shared: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
-    """Candidate pairs of the second round: all pairs within a column whose ends are in different groups."""
+def _open_columns(shared: DataFrame, groups: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """Entries with group and bitmap of the columns whose sets are not all in one group."""
     shortest = 2 if groups is None else 3  # two entries of a column were neighbours in the first round
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, payload in zip(batch["block"], batch["payload"], strict=True):
                 e = _unpack(payload)
+                _, column, size = np.unique(e["h"], return_inverse=True, return_counts=True)
+                e = e[size[column] >= shortest]
                 yield pd.DataFrame({"block": block, "h": np.ascontiguousarray(e["h"]).view(np.int64), "k": e["k"], "n": e["n"].astype(np.int64), "at": e["at"].astype(np.int64)})
 
+    schema = "block int, h long, k long, n long, at long"
+    flat = shared.mapInPandas(entries, schema)
+    if groups is None:
+        flat = flat.withColumn("g", F.col("k"))
+    else:
+        flat = flat.join(groups, "k", "left").withColumn("g", F.coalesce("g", "k"))
+        flat = flat.groupBy("block").applyInPandas(lambda block: block[block.groupby("h")["g"].transform("nunique") > 1], f"{schema}, g long")
+    return flat.join(sets.groupBy(F.col("k1").alias("k")).agg(F.any_value("bitmap").alias("bitmap")), "k")
+
+
+def _between_groups(columns: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Candidate pairs whose ends are in different groups: each entry with the column's hub, or (no seed) all of them."""
+
     def rows(block: pd.DataFrame) -> pd.DataFrame:
         e = np.zeros(len(block), [*_ENTRY.descr, ("g", "i8")])
         for name in ("k", "n", "at", "g"):
             e[name] = block[name].to_numpy()
         e["h"] = block["h"].to_numpy().view(_U)
-        e = e[np.lexsort((e["n"], e["h"]))]
+        order = np.lexsort((e["n"], e["h"]))
+        e, bitmap = e[order], _bitmaps(block["bitmap"])[order]
+
+        def chosen(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = np.flatnonzero(_can(e[i], e[j], percent) & (e["g"][i] != e["g"][j]))
+            i, j = i[ok], j[ok]
+            ok = _near(bitmap[i], bitmap[j], e["n"][i].astype(np.int64) + e["n"][j], percent)
+            return e["k"][i[ok]], e["k"][j[ok]]
+
+        if seed is not None:
+            return _unique_pairs([chosen(np.arange(len(e)), _hubs(e, seed))])
         cut = np.flatnonzero(np.diff(e["h"])) + 1
         found, size, out = [], 0, pd.DataFrame({"ka": [], "kb": []}, dtype="int64")
         for start, end in zip([0, *cut], [*cut, len(e)], strict=True):
-            column = e[start:end]
-            if len(column) < shortest or (column["g"] == column["g"][0]).all():
-                continue
-            top = np.searchsorted(column["n"], column["n"] * 100 // percent, "right")
-            for i in range(len(column) - 1):
-                b = column[i + 1 : top[i]]
-                ok = _can(column[i], b, percent) & (b["g"] != column["g"][i])
-                if ok.any():
-                    found.append((np.full(ok.sum(), column["k"][i]), b["k"][ok]))
-                    size += len(found[-1][0])
-            if size > 1_000_000:
+            top = start + np.searchsorted(e["n"][start:end], e["n"][start:end].astype(np.int64) * 100 // percent, "right")
+            for i in range(start, end - 1):
+                j = np.arange(i + 1, top[i - start])
+                found.append(chosen(np.full(len(j), i), j))
+                size += len(found[-1][0])
+            if size > 1_000_000 or len(found) > 100_000:
                 out, found, size = pd.concat([out, _unique_pairs(found)]).drop_duplicates(), [], 0
         return pd.concat([out, _unique_pairs(found)]).drop_duplicates()
 
-    flat = shared.mapInPandas(entries, "block int, h long, k long, n long, at long")
-    if groups is None:
-        flat = flat.withColumn("g", F.col("k"))
-    else:
-        flat = flat.join(groups, "k", "left").withColumn("g", F.coalesce("g", "k"))
-    return flat.groupBy("block").applyInPandas(rows, "ka long, kb long").distinct()
+    return columns.groupBy("block").applyInPandas(rows, "ka long, kb long").distinct()
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with their documents, without those whose bitmaps differ in too many bits."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series(_near(_bitmaps(a), _bitmaps(b), total.to_numpy(), percent))
+
     side = lambda x: sets.select(F.col("k1").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bitmap")))
-    apart = F.aggregate(F.zip_with("bitmap_a", "bitmap_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    need = F.ceil(total * percent / (100 + percent)).cast("long")
-    return pairs.join(side("a"), "ka").join(side("b"), "kb").where(apart <= total - 2 * need).select("ka", "kb", "rep_a", "rep_b")
+    return pairs.join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("n_a") + F.col("n_b"))).select("ka", "kb", "rep_a", "rep_b")
 
 
 def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int) -> DataFrame:
@@ -318,14 +354,14 @@ class Join:
         entries = self.sets.agg(F.sum("n")).first()[0] or 0
         n_blocks = max(8, -(-entries * (100 - percent) // 100 // BLOCK))
         shared = materialise(_incidence(docs, ranks, n_blocks, percent, n_words).groupBy("block").applyInPandas(_shared, "block int, payload binary"), "columns")
+        verified = lambda pairs: materialise(_overlaps(docs, materialise(_plausible(pairs, self.sets, percent), "pairs"), percent, n_words), "links")
         if links:
-            self.links = materialise(_overlaps(docs, materialise(_plausible(_others(shared, None, percent), self.sets, percent), "pairs"), percent, n_words), "links")
-        else:
-            near = materialise(_neighbours(shared, percent), "near")
-            first = materialise(_overlaps(docs, materialise(_plausible(near, self.sets, percent), "pairs"), percent, n_words), "links")
-            reached = self.sets.join(connected_components(first), F.col("rep") == F.col("node")).select(F.col("k1").alias("k"), F.col("component").alias("g"))
-            rest = _others(shared, reached.groupBy("k").agg(F.min("g").alias("g")), percent).join(near, ["ka", "kb"], "left_anti")
-            self.links = first.union(materialise(_overlaps(docs, materialise(_plausible(rest, self.sets, percent), "pairs"), percent, n_words), "links"))
+            self.links = verified(_between_groups(_open_columns(shared, None, self.sets), percent, None))
+            return
+        self.links = verified(_neighbours(shared, percent))
+        for seed in (*range(1, HUB_ROUNDS), None):
+            grouped = self.sets.join(connected_components(self.links), F.col("rep") == F.col("node")).groupBy(F.col("k1").alias("k")).agg(F.min("component").alias("g"))
+            self.links = self.links.union(verified(_between_groups(_open_columns(shared, grouped, self.sets), percent, seed)))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
