@@ -34,4 +34,87 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op8_chat_format, op10_ngram_join)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import quality_rules as rules
+    from tidemark.llm.common import materialise
+
+    counted = materialise(rules.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "counts")
+    judged = rules.judge(counted, rules.fit_on(counted))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm_scoring import score_by_own_model
+
+    return score_by_own_model(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.cover_tree import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: Domains to mix, with the share of tokens that each should have.
+MIX = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, domain) of the documents in the labelled table; as many as the classifier draws, by their ids' hashes."""
+    from tidemark.llm.mixing import LABELLED
+
+    drawn = labels.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(drawn), "doc_id").select("text", "domain")  # LABELLED rows at most
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import mixing
+    from tidemark.llm.common import materialise
+
+    docs, domains = _table(spark, sf_dir, "documents"), tuple(MIX)
+    model = mixing.train(labelled_domains(docs, _table(spark, sf_dir, "labels")), domains)
+    scored = materialise(mixing.with_posterior(docs.select("doc_id", "text"), model).drop("text"), "posteriors")
+    rated = mixing.with_rate(scored, mixing.fit(scored, domains, MIX), domains)
+    return rated.select("doc_id", "n_words", "domain", "probability", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secrets import train, with_secrets
+
+    found = with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), train(spark))
+    each = found.select("doc_id", F.explode("secrets").alias("s"))
+    return each.select("doc_id", "s.start", F.length("s.secret").alias("length"), F.sha2("s.secret", 256).alias("secret_sha256"), "s.probability")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    field = train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, field).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_embedding_near_dedup,
+        op3_mixing,
+        op4_secret_scan,
+        op5_best_fit_packing,
+        op6_quality_rules,
+        op7_url_filter,
+        op8_chat_format,
+        op9_toxicity,
+        op10_ngram_join,
+    )
+}
