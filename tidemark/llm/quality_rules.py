@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, words
+from tidemark.llm.common import fresh, materialise, words
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_plain_words", "n_sentence_ends", "n_lines")
@@ -64,6 +64,12 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop(w, lines, grams, ordered, at).withColumns({c: F.col(c).cast("long") for c in COUNTS})
 
 
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The table with its counts, written to the shared folder: votes refer to each count many times, and the optimiser
+    would put the whole expression of a count in each place."""
+    return materialise(with_counts(docs, text), "counted")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -137,17 +143,17 @@ def fit(counts: dict[str, int], n_rules: int, rounds: int = 50, prior: float = 0
     return model
 
 
-def fit_on(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
-    """The label model of a table with counts; at most 3 ** len(rules) rows come to the driver."""
-    found = counted.where(~base_failed()).groupBy(pattern(rules).alias("votes")).count().collect()
+def fit_on(table: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
+    """The label model of a table made by :func:`counted`; at most 3 ** len(rules) rows come to the driver."""
+    found = table.where(~base_failed()).groupBy(pattern(rules).alias("votes")).count().collect()
     return fit({r["votes"]: r["count"] for r in found}, len(rules))
 
 
-def judge(counted: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(table: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Add base_failed, quality (the posterior) and kept."""
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
     for rule, (on_good, on_bad) in zip(rules, model.right, strict=True):
         vote = rule.vote()
         odds = odds + F.when(vote == GOOD, math.log(on_good / (1 - on_bad))).when(vote == BAD, math.log((1 - on_good) / on_bad)).otherwise(0.0)
     quality = 1 / (1 + F.exp(-odds))
-    return counted.withColumns({"base_failed": base_failed(), "quality": quality}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return table.withColumns({"base_failed": base_failed(), "quality": quality}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
