@@ -1,11 +1,81 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a table; all but
+the last return the columns of documents. A stage's result is written before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, ngram_join, packing, quality_rules, secrets
+from tidemark.llm.common import fresh, materialise
+from tidemark.llm.queries import labelled_domains
+
+#: Share of tokens that each domain should have. No document is dropped for it: rarer domains are repeated.
+MIX = {"de": 0.17, "en": 0.55, "es": 0.11, "fr": 0.17}
+
+
+def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    (row,) = fresh(docs, "__row")
+    counted = quality_rules.counted(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), "text"))
+    return quality_rules.judge(counted, quality_rules.fit_on(counted)).where("kept").select(f"{row}.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    classes = materialise(ngram_join.near_duplicate_classes(docs), "classes")
+    stay = classes.where("doc_id = component_id OR doc_id IS NULL").select("doc_id")
+    kept = docs.join(stay.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if stay.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        return _like(kept, docs)
+    (rank,) = fresh(docs, "__rank")  # rows that repeat an id: one of them stays
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return _like(kept.withColumn(rank, F.when(F.col("doc_id").isNull(), 1).otherwise(first)).where(f"{rank} = 1"), docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are taken out of the texts."""
+    (clean,) = fresh(docs, "__clean")
+    scanned = secrets.with_secrets(docs.withColumn(clean, F.col("text")), secrets.train(spark), clean)
+    out = scanned.withColumn("text", F.col("redacted"))
+    return _like(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out, docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated until the domains have their shares of the tokens."""
+    domains = tuple(MIX)
+    model = mixing.train(labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), domains)
+    (row,) = fresh(docs, "__row")
+    scored = materialise(mixing.with_posterior(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), "text", "doc_id"), model).drop("text"), "posteriors")
+    rated = mixing.with_rate(scored, mixing.fit(scored, domains, MIX, keep_all=True), domains)
+    return rated.select(row, F.explode(F.sequence(F.lit(1), mixing.copies(F.col("rate"), F.col("doc_id")))).alias("n")).select(f"{row}.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("secret_scan", without_secrets), ("mixing", mixed), ("best_fit_packing", packed)]
+
+#: The label model, the forest and the packing search have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES):
+            docs = materialise(docs, name)
     return docs
