@@ -28,8 +28,8 @@ from tidemark.llm.common import materialise
 from tidemark.llm.graph import connected_components
 
 THRESHOLD = 0.98
-#: Points in a block, pivots of a label, and points of a leaf.
-BLOCK, PIVOTS, LEAF = 2000, 64, 24
+#: Points in a block, pivots of a label, points of a leaf, and node pairs looked at together.
+BLOCK, PIVOTS, LEAF, TOGETHER = 2000, 64, 24, 100_000
 _SLACK = 1e-6
 
 
@@ -45,6 +45,16 @@ class CoverTree:
         if len(points):
             self._grow(np.arange(len(points)))
         self.centre, self.radius = np.array(self.centre, int), np.array(self.radius)
+        self.n_children = np.array([len(c) for c in self.children], int)
+        self.first_child = np.concatenate([[0], np.cumsum(self.n_children)])
+        self.all_children = np.array([c for own in self.children for c in own], int)
+
+    def below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of all the nodes, and for each the place of its parent among the nodes."""
+        counts = self.n_children[nodes]
+        parent = np.repeat(np.arange(len(nodes)), counts)
+        place = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.all_children[self.first_child[nodes[parent]] + place], parent
 
     def _grow(self, first: np.ndarray) -> None:
         waiting = [(first, None)]
@@ -69,21 +79,26 @@ class CoverTree:
 
 def dual_pairs(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index arrays (of a's points, of b's points) whose product holds every pair within ``reach``."""
-    level = np.zeros((1, 2), int) if len(a.points) and len(b.points) else np.zeros((0, 2), int)
-    while len(level):
-        i, j = level[:, 0], level[:, 1]
+    waiting = [(np.zeros(1, int), np.zeros(1, int))] if len(a.points) and len(b.points) else []
+    while waiting:
+        i, j = waiting.pop()
+        if len(i) > TOGETHER:
+            waiting += [(i[k : k + TOGETHER], j[k : k + TOGETHER]) for k in range(0, len(i), TOGETHER)]
+            continue
         apart = np.sqrt(np.maximum(0, ((a.points[a.centre[i]] - b.points[b.centre[j]]) ** 2).sum(1)))
-        level = level[apart <= a.radius[i] + b.radius[j] + reach + _SLACK]
-        deeper = []
-        for i, j in level:
-            split_a = a.children[i] and (a.radius[i] >= b.radius[j] or not b.children[j])
-            if split_a:
-                deeper += [(c, j) for c in a.children[i]]
-            elif b.children[j]:
-                deeper += [(i, c) for c in b.children[j]]
-            else:
-                yield a.members[i], b.members[j]
-        level = np.array(deeper, int).reshape(-1, 2)
+        near = apart <= a.radius[i] + b.radius[j] + reach + _SLACK
+        i, j = i[near], j[near]
+        open_a, open_b = a.n_children[i] > 0, b.n_children[j] > 0
+        split_a = open_a & ((a.radius[i] >= b.radius[j]) | ~open_b)
+        split_b = open_b & ~split_a
+        for x, y in zip(i[~split_a & ~split_b], j[~split_a & ~split_b], strict=True):
+            yield a.members[x], b.members[y]
+        if split_a.any():
+            child, parent = a.below(i[split_a])
+            waiting.append((child, j[split_a][parent]))
+        if split_b.any():
+            child, parent = b.below(j[split_b])
+            waiting.append((i[split_b][parent], child))
 
 
 def _links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
