@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input, and the whole of it."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from tests.llm.test_ngram_join import brute as near
 from tests.llm.test_packing import check
@@ -15,6 +17,8 @@ def test_stages(spark, data_dir, tokenizer_path):
     from tidemark.llm.common import materialise
 
     docs = documents(spark, data_dir)
+    planted = F.when(F.col("doc_id") == 3, F.concat("text", F.lit(' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" '))).otherwise(F.col("text"))
+    docs = docs.withColumn("text", planted)
     columns, tables = docs.columns, [docs]
     for name, stage in p.STAGES[:-1]:
         out = materialise(stage(spark, tables[-1], data_dir), name)
@@ -31,8 +35,8 @@ def test_stages(spark, data_dir, tokenizer_path):
     assert {r["doc_id"] for r in single} == {i for i, (_, c) in classes.items() if i == c} and len(single) < len(good)
 
     before = {r["doc_id"]: r["text"] for r in single}
-    assert [r["doc_id"] for r in clean].sort() == list(before).sort()
-    assert any(r["text"] != before[r["doc_id"]] for r in clean) and all(len(r["text"]) == r["n_chars"] for r in clean)
+    assert sorted(r["doc_id"] for r in clean) == sorted(before)
+    assert any(r["doc_id"] == 3 and r["text"] == before[3].replace("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "[SECRET]") for r in clean) and all(len(r["text"]) == r["n_chars"] for r in clean)
     assert not any('token = "' + "0123456789abcdef"[k] in r["text"] for r in clean for k in range(16))
 
     assert {r["doc_id"] for r in mixed} == {r["doc_id"] for r in clean} and len(mixed) > len(clean)
