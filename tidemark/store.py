@@ -201,7 +201,7 @@ class Store:
         writer = out.write
         if self.options.enable_bloom_filter:
             share = min(0.5, max(1e-4, 0.6185**self.options.bloom_bits_per_key))
-            writer = writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.fpp#k", str(share))
+            writer = writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.fpp#k", str(share)).option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{target}")
         written = self.spark.read.schema("seg_id int, k string, op byte, v string").parquet(f"{self.path}/{target}")
         facts = written.agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"), F.count_if(~F.col("op").isin(PUT, TOMBSTONE)).alias("bad")).first()
