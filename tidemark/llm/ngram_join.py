@@ -7,7 +7,8 @@ still reach is at least the smallest that two sets of its sizes need. Three exac
 * a set needs only its rarest ``n - ceil(t n) + 1`` shingles in the matrix (any order is exact; rare first
   makes the columns short, and which shingles are frequent is counted over all documents);
 * a shared column at positions i and j leaves an overlap of ``min(n1 - i, n2 - j)`` at most;
-* two sets differ in at least as many shingles as their parity bitmaps differ in bits.
+* two sets differ in at least as many shingles as their parity bitmaps differ in bits (a bitmap has about as
+  many bits as its set has shingles, and folds to half its size by exclusive or).
 
 For the pairs that are left, overlaps are accumulated over the full rows. Links are found in rounds: first
 each set with its neighbour by size and with one hub of the column, then with further hubs, then every pair
@@ -34,8 +35,8 @@ from tidemark.llm.shingles import N_WORDS, all_shingle_sets, mix
 
 #: Similarity as a fraction of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
-#: 64-bit words of a parity bitmap.
-BITMAP_WORDS = 16
+#: Bits of a parity bitmap, at least.
+LEAST_BITS = 512
 #: At most so many of the most frequent shingles go last in the order; 12 bytes each are broadcast.
 FREQUENT = 1 << 17
 #: Matrix entries in a block of columns, and in one part of a column (longer ones are split).
@@ -68,17 +69,40 @@ def _keys(own: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(own: np.ndarray) -> bytes:
-    odd = np.bincount((own % _U(BITMAP_WORDS * 64)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
+    bits = max(LEAST_BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _bitmaps(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), _U).reshape(-1, BITMAP_WORDS)
+class _Bitmaps:
+    """Parity bitmaps of several sizes, kept in one matrix for each size."""
 
+    def __init__(self, column: pd.Series):
+        data = column.tolist()
+        size = np.array([len(b) // 8 for b in data], np.int64)
+        self.size, self.place, self.rows = size, np.zeros(len(data), np.int64), {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            self.place[own] = np.arange(len(own))
+            self.rows[n] = np.frombuffer(b"".join(data[i] for i in own), _U).reshape(-1, n)
 
-def _near(a: np.ndarray, b: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets with these bitmaps and so many shingles in total can be similar enough."""
-    return np.bitwise_count(a ^ b).sum(-1) <= total - 2 * _need(total, percent)
+    def apart(self, i: np.ndarray, other: _Bitmaps, j: np.ndarray) -> np.ndarray:
+        """In how many bits pairs differ, the larger bitmap folded to the size of the smaller."""
+        out = np.zeros(len(i), np.int64)
+        a, b = self.size[i], other.size[j]
+        for x, y in set(zip(a.tolist(), b.tolist(), strict=True)):
+            own, least = np.flatnonzero((a == x) & (b == y)), min(x, y)
+            for k in range(0, len(own), 10_000):
+                at = own[k : k + 10_000]
+                sides = (m.rows[w][m.place[p[at]]].reshape(len(at), -1, least) for m, w, p in ((self, x, i), (other, y, j)))
+                left, right = (np.bitwise_xor.reduce(side, axis=1) for side in sides)
+                out[at] = np.bitwise_count(left ^ right).sum(1)
+        return out
+
+
+def _near(apart: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose bitmaps are so far apart, with so many shingles in total, can be similar enough."""
+    return apart <= total - 2 * _need(total, percent)
 
 
 def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
@@ -263,14 +287,19 @@ def _between_groups(columns: DataFrame, percent: int, seed: int | None) -> DataF
             e[name] = block[name].to_numpy()
         e["h"] = block["h"].to_numpy().view(_U)
         order = np.lexsort((e["n"], e["h"]))
-        e, bitmap = e[order], _bitmaps(block["bitmap"])[order]
+        e, bitmap = e[order], _Bitmaps(block["bitmap"].iloc[order])
 
         def chosen(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = np.flatnonzero(_can(e[i], e[j], percent) & (e["g"][i] != e["g"][j]))
             i, j = i[ok], j[ok]
-            ok = _near(bitmap[i], bitmap[j], e["n"][i].astype(np.int64) + e["n"][j], percent)
+            ok = _near(bitmap.apart(i, bitmap, j), e["n"][i].astype(np.int64) + e["n"][j], percent)
             return e["k"][i[ok]], e["k"][j[ok]]
 
+        def together(out: pd.DataFrame, found: list) -> pd.DataFrame:
+            if not found:
+                return out
+            return pd.concat([out, _unique_pairs([chosen(*(np.concatenate([p[k] for p in found]) for k in (0, 1)))])]).drop_duplicates()
+
         if seed is not None:
             return _unique_pairs([chosen(np.arange(len(e)), _hubs(e, seed))])
         cut = np.flatnonzero(np.diff(e["h"])) + 1
@@ -279,11 +308,11 @@ def _between_groups(columns: DataFrame, percent: int, seed: int | None) -> DataF
             top = start + np.searchsorted(e["n"][start:end], e["n"][start:end].astype(np.int64) * 100 // percent, "right")
             for i in range(start, end - 1):
                 j = np.arange(i + 1, top[i - start])
-                found.append(chosen(np.full(len(j), i), j))
-                size += len(found[-1][0])
-            if size > 1_000_000 or len(found) > 100_000:
-                out, found, size = pd.concat([out, _unique_pairs(found)]).drop_duplicates(), [], 0
-        return pd.concat([out, _unique_pairs(found)]).drop_duplicates()
+                found.append((np.full(len(j), i), j))
+                size += len(j)
+                if size > 200_000:
+                    out, found, size = together(out, found), [], 0
+        return together(out, found)
 
     return columns.groupBy("block").applyInPandas(rows, "ka long, kb long").distinct()
 
@@ -293,7 +322,8 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series(_near(_bitmaps(a), _bitmaps(b), total.to_numpy(), percent))
+        each = np.arange(len(a))
+        return pd.Series(_near(_Bitmaps(a).apart(each, _Bitmaps(b), each), total.to_numpy(), percent))
 
     side = lambda x: sets.select(F.col("k1").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bitmap")))
     return pairs.join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("n_a") + F.col("n_b"))).select("ka", "kb", "rep_a", "rep_b")
@@ -321,10 +351,11 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int) ->
     members = split.select("ka", "part", F.col("kb").alias("k"), F.col("rep_b").alias("doc")).union(split.select("ka", "part", "ka", "rep_a").distinct())
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        hub, members = None, []
+        hub, members, done = None, [], set()
         for k, doc, own in zip(group["k"], group["doc"], all_shingle_sets(group["text"], n_words), strict=True):
-            if not len(own) or _keys(own)[0] != k:  # another text of the same id
+            if not len(own) or _keys(own)[0] != k or k in done:  # another text of the same id, or a repeated row
                 continue
+            done.add(k)
             if k == key[0]:
                 hub = doc, own
             else:
