@@ -79,14 +79,15 @@ class Rates:
     """The residual vectors that projected gradient descent has met, in order."""
 
     residuals: tuple[tuple[float, ...], ...] = ()
+    least: float = 0.0
 
     def column(self) -> Column:
-        """The rate of a document: 1, moved against each residual in turn and held at 0 or more."""
+        """The rate of a document: 1, moved against each residual in turn and held at ``least`` or more."""
         if not self.residuals:
             return F.lit(1.0)
         steps = F.array(*(F.array(*(F.lit(float(v)) for v in g)) for g in self.residuals))
         along = lambda g: F.aggregate(F.zip_with(g, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - along(g)))
+        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(self.least), r - along(g)))
 
 
 def _totals(scored: DataFrame, rates: Rates, k: int) -> list[float]:
@@ -97,20 +98,20 @@ def _totals(scored: DataFrame, rates: Rates, k: int) -> list[float]:
 def fit(scored: DataFrame, domains: tuple[str, ...], targets: dict[str, float], keep_all: bool = False, steps: int = STEPS) -> Rates:
     """Rates whose expected domain tokens meet the target weights.
 
-    The tokens aimed at are as many as there are, or, with ``keep_all``, the fewest for which no domain shrinks,
-    so that no document's rate falls below 1.
+    The tokens aimed at are as many as there are, or, with ``keep_all``, the fewest for which no domain shrinks;
+    then rates are held at 1 or more instead of 0, and no document is dropped.
     """
     have = _totals(scored, Rates(), len(domains))
     weight = sum(targets[d] for d in domains)
     share = [targets[d] / weight for d in domains]
     budget = max((h / s for h, s in zip(have, share, strict=True) if s), default=0.0) if keep_all else sum(have)
     aim = [s * budget for s in share]
-    rates, now = Rates(), have
+    rates, now = Rates(least=float(keep_all)), have
     for _ in range(steps if sum(have) else 0):
         residual = tuple((n - a) / h if h else 0.0 for n, a, h in zip(now, aim, have, strict=True))
         if max(abs(r) * h for r, h in zip(residual, have, strict=True)) <= TOLERANCE * budget:
             break
-        rates = Rates((*rates.residuals, residual))
+        rates = Rates((*rates.residuals, residual), rates.least)
         now = _totals(scored, rates, len(domains))
     return rates
 

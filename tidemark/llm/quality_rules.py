@@ -65,9 +65,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The table with its counts, written to the shared folder: votes refer to each count many times, and the optimiser
-    would put the whole expression of a count in each place."""
-    return materialise(with_counts(docs, text), "counted")
+    """The table with its counts in place of the text, written to the shared folder: votes refer to each count many
+    times, and the optimiser would put the whole expression of a count in each place."""
+    return materialise(with_counts(docs, text).drop(text), "counted")
 
 
 def base_failed() -> Column:

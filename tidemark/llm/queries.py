@@ -36,9 +36,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import quality_rules as rules
-    from tidemark.llm.common import materialise
 
-    counted = materialise(rules.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "counts")
+    counted = rules.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = rules.judge(counted, rules.fit_on(counted))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
