@@ -61,3 +61,35 @@ def test_unusual_input(spark):
     got = lm.score_by_own_model(df).collect()
     assert [(r["n_words"], r["mean_log_likelihood"] is None) for r in sorted(got, key=lambda r: (r["doc_id"] or 0, r["n_words"]))] == [(1, False), (0, True), (0, True), (30000, False), (2, False), (2, False)]
     assert lm.score_by_own_model(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_word_has_its_own_probability(spark):
+    rng = random.Random(4)
+    weights = [1 / (k + 1) for k in range(6000)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.choices(range(6000), weights, k=200))) for i in range(300)], SCHEMA)
+    vocab, network = lm.train(docs)
+    counts = {r["word"]: r["n"] for r in vocab.words.collect()}
+    hashes = lambda words: lm.word_hashes([" ".join(words).encode()])[0].view(np.int64).tolist()
+    every = [f"w{k}" for k in range(6000) if hashes([f"w{k}"])[0] in counts]
+    assert len(every) == len(counts) > 3 * lm.VOCABULARY
+    unseen = [f"gibberish{k}" for k in range(500)]
+    one = spark.createDataFrame([(k, w) for k, w in enumerate(every + unseen)], SCHEMA)
+    got = [r["log_likelihood"] for r in lm.score(one, vocab, network).orderBy("doc_id").collect()]
+    seen, rare = np.array(got[: len(every)]), np.array(got[len(every) :])
+    unknown = 0
+    model = network.log_probabilities(np.full((lm.TAIL, len(lm.WINDOW)), len(vocab.own)), vocab.tail)
+    for (n, kinds, once), p in zip(vocab.sums, model, strict=True):
+        unknown += np.exp(p) * (once + 1) / (n + once + 1)
+    empty_ids = lm.VOCABULARY - lm.TAIL - int((vocab.own > 0).sum())
+    assert empty_ids < 5 and abs(np.exp(seen).sum() + unknown - 1) < 0.01
+    assert rare.max() < np.median(seen)
+    share = np.array([counts[h] for h in hashes(every)]) / sum(counts.values())
+    assert np.corrcoef(seen, np.log(share))[0, 1] > 0.9
+
+
+def test_vocabulary_grows(spark):
+    words = spark.range(5000).selectExpr("xxhash64(id) AS word", "1L AS n")
+    small, counts = lm.vocabulary(words)
+    large, more = lm.vocabulary(words.withColumn("n", words["n"] * 100000))
+    assert len(counts) == lm.VOCABULARY and len(more) > 4 * lm.VOCABULARY and len(large.own) == len(more)
+    assert counts.sum() == 5000 and more.sum() == 5000 * 100000

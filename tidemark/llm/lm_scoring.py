@@ -5,7 +5,11 @@ document's score is the sum of the conditional log-probabilities of all its word
 embedding table per window offset, one tanh layer, and a softmax in two levels (a class of words, then the word in
 it), so a prediction costs twice the square root of the vocabulary.
 
-The vocabulary is counted over all documents. Every task trains a copy of the network on a fixed share of the
+Words are counted over all documents. The network's vocabulary grows with the number of words counted: the most
+frequent words have an id each, the others share tail ids by their hash. A word that shares an id is scored as
+P(id | both sides) * P(word | id), the second factor from the corpus counts, which are joined and never gathered.
+Of a tail id with N words of T kinds, S of them seen once, a word seen n times has n / (N + S + 1), and the rest of the
+mass goes to T + 1 words never seen. Every task trains a copy of the network on a fixed share of the
 positions of all its documents; the copies are averaged by the number of positions they saw, so training grows
 with the corpus while the driver receives a fixed number of networks.
 
@@ -17,17 +21,23 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialise
 from tidemark.llm.shingles import chunks, word_hashes
 
-#: Words are counted by hash in so many buckets; the most frequent are words of the vocabulary, the others share tail words.
+#: Least buckets of the table from hashes to ids, least classes of words (as many words in each), and tail ids.
 BUCKETS, SIDE, TAIL = 1 << 18, 32, 64
 VOCABULARY = SIDE * SIDE
+#: Words of a corpus for which SIDE classes do; the vocabulary grows with the cube root of their number.
+SIDE_WORDS = 1 << 20
+#: Words a task holds before it counts them.
+HELD = 1 << 22
 WIDTH, WINDOW = 24, (-2, -1, 1, 2)
 #: One position in TRAIN_EACH is trained on, in steps of BATCH positions.
 TRAIN_EACH, BATCH, RATE = 10, 2048, 0.3
@@ -46,13 +56,14 @@ class Network:
         """Small random embeddings, and output biases that give the corpus frequencies."""
         rng = np.random.default_rng(seed)
         share = (counts + 1.0) / (counts.sum() + len(counts))
-        by_class = share.reshape(SIDE, SIDE)
-        classes, words = np.zeros((WIDTH + 1, SIDE), np.float32), np.zeros((SIDE, WIDTH + 1, SIDE), np.float32)
-        classes[:WIDTH] = rng.normal(0, 0.05, (WIDTH, SIDE))
-        words[:, :WIDTH] = rng.normal(0, 0.05, (SIDE, WIDTH, SIDE))
+        side = round(len(counts) ** 0.5)
+        by_class = share.reshape(side, side)
+        classes, words = np.zeros((WIDTH + 1, side), np.float32), np.zeros((side, WIDTH + 1, side), np.float32)
+        classes[:WIDTH] = rng.normal(0, 0.05, (WIDTH, side))
+        words[:, :WIDTH] = rng.normal(0, 0.05, (side, WIDTH, side))
         classes[WIDTH] = np.log(by_class.sum(1))
         words[:, WIDTH] = np.log(by_class / by_class.sum(1, keepdims=True))
-        embeddings = rng.normal(0, 0.3, (len(WINDOW), VOCABULARY + 1, WIDTH)).astype(np.float32)
+        embeddings = rng.normal(0, 0.3, (len(WINDOW), len(counts) + 1, WIDTH)).astype(np.float32)
         return cls(embeddings, classes, words)
 
     def pack(self) -> bytes:
@@ -60,7 +71,9 @@ class Network:
 
     @classmethod
     def unpack(cls, data: bytes) -> Network:
-        flat, shapes = np.frombuffer(data, np.float32), ((len(WINDOW), VOCABULARY + 1, WIDTH), (WIDTH + 1, SIDE), (SIDE, WIDTH + 1, SIDE))
+        flat = np.frombuffer(data, np.float32)
+        side = next(k for k in range(1, len(flat)) if len(WINDOW) * (k * k + 1) * WIDTH + (WIDTH + 1) * (k + k * k) >= len(flat))
+        shapes = ((len(WINDOW), side * side + 1, WIDTH), (WIDTH + 1, side), (side, WIDTH + 1, side))
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         return cls(*(x.reshape(s).copy() for x, s in zip(np.split(flat, cuts), shapes, strict=True)))
 
@@ -73,14 +86,14 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(word | both sides) of each position."""
-        h = self.hidden(context)
-        group, inner = target // SIDE, target % SIDE
+        h, side = self.hidden(context), self.classes.shape[1]
+        group, inner = target // side, target % side
         at = np.arange(len(target))
         z = h @ self.classes
         out = z[at, group] - _log_sum(z)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(SIDE + 1))
-        for g in range(SIDE):
+        cuts = np.searchsorted(group[order], np.arange(side + 1))
+        for g in range(side):
             own = order[cuts[g] : cuts[g + 1]]
             if len(own):
                 z = h[own] @ self.words[g]
@@ -89,27 +102,27 @@ class Network:
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability of a batch."""
-        h = self.hidden(context)
-        group, inner = target // SIDE, target % SIDE
+        h, side = self.hidden(context), self.classes.shape[1]
+        group, inner = target // side, target % side
         rate /= len(target)
         miss = -_softmax(h @ self.classes)
         miss[np.arange(len(target)), group] += 1
         back = miss @ self.classes.T
         self.classes += rate * (h.T @ miss)
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(SIDE + 1))
-        for g in range(SIDE):
+        cuts = np.searchsorted(group[order], np.arange(side + 1))
+        for g in range(side):
             own = order[cuts[g] : cuts[g + 1]]
             if len(own):
                 miss = -_softmax(h[own] @ self.words[g])
                 miss[np.arange(len(own)), inner[own]] += 1
                 back[own] += miss @ self.words[g].T
-                self.words[g] += rate * SIDE * (h[own].T @ miss)
+                self.words[g] += rate * side * (h[own].T @ miss)
         slope = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
         for k in range(len(WINDOW)):
             order = np.argsort(context[:, k], kind="stable")
             ids, first = np.unique(context[order, k], return_index=True)
-            self.embeddings[k][ids] += rate * VOCABULARY**0.5 * np.add.reduceat(slope[order], first, axis=0)
+            self.embeddings[k][ids] += rate * side * np.add.reduceat(slope[order], first, axis=0)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -122,61 +135,98 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
+def _bucket(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) & (buckets - 1)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(bucket, n): how often the words of each bucket occur in all documents."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for chunk in chunks(batch["text"]):
-                counts += np.bincount(_bucket(word_hashes(chunk)[0]), minlength=BUCKETS)
-        found = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": found, "n": counts[found]})
+@dataclass(frozen=True)
+class Vocabulary:
+    """The id of each bucket, the hash of each id's word (0 for tail ids), each tail id's frequency, kinds and words seen once; and all words (word, n)."""
 
-    return docs.select("text").mapInPandas(rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    ids: np.ndarray
+    own: np.ndarray
+    tail: np.ndarray
+    sums: np.ndarray
+    words: DataFrame
 
 
-def vocabulary(counts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The word id of each bucket, and the frequency of each id; the most frequent buckets spread over the classes."""
-    n = np.zeros(BUCKETS, np.int64)
-    n[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    order = np.argsort(-n, kind="stable")
-    ids = VOCABULARY - TAIL + np.arange(BUCKETS) % TAIL
-    ids[order[: VOCABULARY - TAIL]] = np.arange(VOCABULARY - TAIL)
-    spread = np.arange(VOCABULARY).reshape(SIDE, SIDE).T.ravel()
-    ids = spread[ids]
-    return ids.astype(np.int16), np.bincount(ids, n, VOCABULARY)
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word, as its hash, occurs in all documents."""
 
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        return pd.DataFrame({"word": found.view(np.int64), "n": n})
 
-def windows(chunk: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word of the texts: its id, the ids around it (VOCABULARY beyond the edge of the text), its text."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for batch in batches:
+            for chunk in chunks(batch["text"]):
+                held.append(word_hashes(chunk)[0])
+                if sum(len(h) for h in held) >= HELD:
+                    yield counted(held)
+                    held = []
+        yield counted(held)
+
+    return docs.select("text").mapInPandas(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(words: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of all words (word, n), and the frequency of each id; the most frequent words spread over the classes."""
+    by_tail = words.groupBy(F.expr(f"pmod(word, {TAIL})").cast("int").alias("t")).agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")))
+    sums = np.zeros((TAIL, 3), np.int64)
+    for t, *values in by_tail.collect():  # TAIL rows at most
+        sums[t] = values
+    side = max(SIDE, int(np.ceil(SIDE * (sums[:, 0].sum() / SIDE_WORDS) ** (1 / 6))))
+    size = side * side
+    top = words.orderBy(F.desc("n"), "word").limit(size - TAIL).toPandas()  # one row an id
+    hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    buckets = max(BUCKETS, 1 << (64 * size - 1).bit_length())
+    _, first = np.unique(_bucket(hashes, buckets), return_index=True)
+    first.sort()  # of words that meet in a bucket the most frequent has the id, the others are tail words
+    hashes, n = hashes[first], n[first]
+    t = hashes.view(np.int64) % TAIL
+    for k, of in enumerate((n, np.ones(len(n)), n == 1)):
+        sums[:, k] -= np.bincount(t, of, TAIL).astype(np.int64)
+    spread = np.arange(size).reshape(side, side).T.ravel()
+    ids, own, counts = np.full(buckets, spread[-1], np.int32), np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    at, tail = spread[: len(hashes)], spread[size - TAIL :]
+    ids[_bucket(hashes, buckets)], own[at], counts[at], counts[tail] = at, hashes, n, sums[:, 0]
+    return Vocabulary(ids, own, tail, sums, words), counts
+
+
+def windows(chunk: list[bytes], ids: np.ndarray, own: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of every word of the texts: its id, the ids around it (the number of ids beyond the edge of the text), its text.
+
+    With ``own`` and ``tail``, a word that isn't its id's own word has a tail id; a fourth array has the word where
+    that is so, and 0 elsewhere."""
     hashes, owner = word_hashes(chunk)
-    target = ids[_bucket(hashes)].astype(np.int64)
-    context = np.full((len(target), len(WINDOW)), VOCABULARY, np.int64)
+    target = ids[_bucket(hashes, len(ids))].astype(np.int64)
+    edge, rest = VOCABULARY, ()
+    if own is not None:
+        other, edge = own[target] != hashes, len(own)
+        target = np.where(other, tail[hashes.view(np.int64) % TAIL], target)
+        rest = (np.where(other, hashes, np.uint64(0)).view(np.int64),)
+    context = np.full((len(target), len(WINDOW)), edge, np.int64)
     for k, d in enumerate(WINDOW):
         here, there = (slice(None, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(None, d))
         same = owner[here] == owner[there]
-        context[here, k] = np.where(same, target[there], VOCABULARY)
-    return target, context, owner
+        context[here, k] = np.where(same, target[there], edge)
+    return target, context, owner, *rest
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word ids by bucket, and the network, trained on all documents."""
+def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
+    """The vocabulary, and the network, trained on all documents."""
     spark = docs.sparkSession
-    ids, counts = vocabulary(count_words(docs).toPandas())  # BUCKETS rows at most
+    vocab, counts = vocabulary(materialise(count_words(docs), "words"))
     first = Network.start(counts)
-    shared = spark.sparkContext.broadcast((ids, first.pack()))
+    shared = spark.sparkContext.broadcast((vocab.ids, vocab.own, vocab.tail, first.pack()))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_ids, data = shared.value
+        *lookup, data = shared.value
         network, seen = Network.unpack(data), 0
         for batch in batches:
             for chunk in chunks(batch["text"]):
-                target, context, _ = windows(chunk, own_ids)
+                target, context, *_ = windows(chunk, *lookup)
                 at = np.flatnonzero((np.arange(len(target)) * 2654435761 + len(target)) % (1 << 32) < (1 << 32) // TRAIN_EACH)
                 for k in range(0, len(at), BATCH):
                     own = at[k : k + BATCH]
@@ -194,29 +244,40 @@ def train(docs: DataFrame) -> tuple[np.ndarray, Network]:
 
     schema = "part long, seen long, network binary"
     averages = docs.select("text").mapInPandas(rows, schema).groupBy("part").applyInPandas(average, schema).toPandas()  # GROUPS rows at most
-    return (ids, Network.unpack(average(averages)["network"].iloc[0])) if len(averages) else (ids, first)
+    return (vocab, Network.unpack(average(averages)["network"].iloc[0])) if len(averages) else (vocab, first)
 
 
-def score(docs: DataFrame, ids: np.ndarray, network: Network) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum over all words) and mean_log_likelihood of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, network.pack()))
+    sums = vocab.sums + (0, 1, 1)
+    of_tail = -np.log(sums[:, 0] + sums[:, 2])
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.ids, vocab.own, vocab.tail, network.pack()))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_ids, data = shared.value
+        *lookup, data = shared.value
         model = Network.unpack(data)
         for batch in batches:
-            n, total = [], []
+            n, total, tails = [], [], []
             for chunk in chunks(batch["text"]):
-                target, context, owner = windows(chunk, own_ids)
+                target, context, owner, word = windows(chunk, *lookup)
                 p = np.concatenate([np.zeros(0, np.float32), *(model.log_probabilities(context[k : k + 65536], target[k : k + 65536]) for k in range(0, len(target), 65536))])
                 n.append(np.bincount(owner, minlength=len(chunk)))
-                total.append(np.bincount(owner, p.astype(float), len(chunk)))
+                at = np.flatnonzero(word)
+                p = p.astype(float)
+                p[at] += of_tail[word[at] % TAIL]
+                total.append(np.bincount(owner, p, len(chunk)))
+                tails += np.split(word[at], np.searchsorted(owner[at], np.arange(1, len(chunk))))
             n, total = np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0), *total])
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = pd.Series(total / n).astype("Float64").where(n > 0, pd.NA)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": n, "log_likelihood": total, "mean_log_likelihood": mean})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "n_words": n, "total": total, "tail": tails})
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = materialise(numbered.mapInPandas(rows, "row long, doc_id long, n_words long, total double, tail array<long>"), "scored")
+    unseen = F.array(*(F.lit(float(x)) for x in np.log(sums[:, 2] / sums[:, 1])))
+    each = scored.select("row", F.explode("tail").alias("word")).join(vocab.words, "word", "left")
+    within = each.groupBy("row").agg(F.sum(F.coalesce(F.log("n"), F.get(unseen, F.expr(f"pmod(word, {TAIL})").cast("int")))).alias("within"))
+    total = F.col("total") + F.coalesce("within", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return scored.drop("tail").join(within, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 
 
 def score_by_own_model(docs: DataFrame) -> DataFrame:
