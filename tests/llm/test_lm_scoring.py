@@ -93,3 +93,13 @@ def test_vocabulary_grows(spark):
     large, more = lm.vocabulary(words.withColumn("n", words["n"] * 100000))
     assert len(counts) == lm.VOCABULARY and len(more) > 4 * lm.VOCABULARY and len(large.own) == len(more)
     assert counts.sum() == 5000 and more.sum() == 5000 * 100000
+
+
+def test_production_parameters_train_on_every_position(spark):
+    """Texts too short for a share of their positions; a tenth of them gives about 0.5 above the unigram."""
+    rows = [(9 * i + k, " ".join(t.split()[20 * k : 20 * k + 20])) for i, t in sentences(1200) for k in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    vocab, network = lm.train(docs)
+    n = np.array([r["n"] for r in vocab.words.collect()])
+    got = lm.score(docs, vocab, network).selectExpr("sum(log_likelihood) / sum(n_words) AS mean").collect()[0]["mean"]
+    assert got > float((n / n.sum() * np.log(n / n.sum())).sum()) + 2

@@ -9,8 +9,8 @@ Words are counted over all documents. The network's vocabulary grows with the nu
 frequent words have an id each, the others share tail ids by their hash. A word that shares an id is scored as
 P(id | both sides) * P(word | id), the second factor from the corpus counts, which are joined and never gathered.
 Of a tail id with N words of T kinds, S of them seen once, a word seen n times has n / (N + S + 1), and the rest of the
-mass goes to T + 1 words never seen. Every task trains a copy of the network on a fixed share of the
-positions of all its documents; the copies are averaged by the number of positions they saw, so training grows
+mass goes to T + 1 words never seen. Every task trains a copy of the network on every
+position of all its documents; the copies are averaged by the number of positions they saw, so training grows
 with the corpus while the driver receives a fixed number of networks.
 
 Results for unusual input: null and empty texts have no words and a score of 0 (mean null); texts are scored whole;
@@ -40,7 +40,7 @@ SIDE_WORDS = 1 << 20
 HELD = 1 << 22
 WIDTH, WINDOW = 24, (-2, -1, 1, 2)
 #: One position in TRAIN_EACH is trained on, in steps of BATCH positions.
-TRAIN_EACH, BATCH, RATE = 10, 2048, 0.3
+TRAIN_EACH, BATCH, RATE = 1, 2048, 0.3
 #: Averages of networks that reach the driver.
 GROUPS = 8
 
