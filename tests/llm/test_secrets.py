@@ -58,3 +58,25 @@ def test_scan_finds_redacts_and_keeps_positions(spark, forest):
 
 def test_empty(spark, forest):
     assert s.with_secrets(spark.createDataFrame([], "doc_id long, text string"), forest).collect() == []
+
+
+def test_short_digit_free_and_punctuated_secrets(spark, forest):
+    texts = {
+        1: ('the password = "hunter2!Xy9" is set', "hunter2!Xy9"),
+        2: ('use token = "QwErTyUiOpAsDfGhJkLzXcVb" here', "QwErTyUiOpAsDfGhJkLzXcVb"),
+        3: ('password="Tr0ub4dor&3-correct"', "Tr0ub4dor&3-correct"),
+        4: ("connect to postgres://user:p4ss.w0rd!x@host now", "p4ss.w0rd!x"),
+        5: ("set api_key=AbCdEf0123456789AbCd and go", "AbCdEf0123456789AbCd"),
+        6: ("Note: the token: string is required, key: value, see mailto:bob@example.org at 10:45", None),
+        7: ("Der Schlüssel: Donaudampfschifffahrtsgesellschaft und https://example.com/some/long/path/about/things", None),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for r in s.with_secrets(df, forest).collect():
+        text, secret = texts[r["doc_id"]]
+        assert [(f["start"], f["secret"]) for f in r["secrets"]] == ([(text.index(secret), secret)] if secret else []), text
+        assert r["redacted"] == (text.replace(secret, s.REDACTED) if secret else text)
+
+
+def test_candidates_on_long_runs(spark, forest):
+    df = spark.createDataFrame([(1, "key=" + "x&" * 20000), (2, 'a="' + "=:" * 20000), (3, ":" * 40000), (4, "=" * 40000 + "_" * 40000)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in s.with_secrets(df, forest).collect()) == [1, 2, 3, 4]

@@ -1,6 +1,7 @@
 """Secret scan: a random forest tells secrets from look-alikes.
 
-Candidates are runs of 16 or more key characters that hold a digit. The forest judges each by its length, character
+Candidates are runs of 16 or more key characters, and whatever follows = or : (of any length and punctuation up to
+white space or a quote), the word after "Bearer", and the password of a URL; a name before = is no part of them. The forest judges each by its length, character
 transitions, dictionary coverage, path and neighbouring words; it is trained on labelled findings. Trees become
 CASE expressions, so the scan itself is DataFrame functions only, one pass without a shuffle.
 
@@ -21,8 +22,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh
 
-_KEY = r"A-Za-z0-9_+/=\-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z_+/=\-]*+[0-9])[{_KEY}]{{16,}}"
+_KEY = r"A-Za-z0-9_+/\-"
+_QUOTE = "\"'`"
+#: After a name: = or : (also => and :=), white space and a quote. Alternatives of fixed width, as Python's patterns need.
+_QUOTED = rf"(?:(?<=[=:>][{_QUOTE}])|(?<=[=:>]\s[{_QUOTE}])|(?<=[=:>]\s\s[{_QUOTE}]))"
+_BARE = r"(?:(?<=[=:])|(?<=[=:>]\s)|(?<=[=:>]\s\s)|(?<=[Bb]earer\s)|(?<=BEARER\s))(?!//)"
+_VALUE = rf"[^\s{_QUOTE}<>;,&=:][^\s{_QUOTE}<>;,&]*+(?:&(?!\w{{1,40}}=)[^\s{_QUOTE}<>;,&]*+){{0,8}}"
+#: No alternative starts after a letter or digit; the first look passes over most positions at once.
+CANDIDATE = rf"(?<![A-Za-z0-9])(?:(?<=:)[^\s:/@{_QUOTE}<>]++(?=@[\w\[])|{_QUOTED}[^\s{_QUOTE}<>]++|{_BARE}{_VALUE}|(?<![{_KEY}])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}{_QUOTE}=]))?)"
 #: Code points of context before and after a candidate.
 BEFORE, AFTER = 40, 20
 REDACTED = "[SECRET]"
@@ -44,7 +51,7 @@ theme thing thread time title token tool topic track trade travel tree type upda
 village volume water weather week widget window winter word work world year""".split()
 SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|auth|bearer|credential|private|access|key)[\"']?[^\p{L}0-9]{0,5}$"
 PLAIN_WORDS = r"(?i)(sha\d*|commit|hash|digest|checksum|md5|uuid|guid|isbn|version|etag|build|file|path|img|href|src|id|ref|url|page|order|invoice|number|tel|phone)[\"']?[^\p{L}0-9]{0,5}$"
-FEATURES = ("size", "transitions", "digits", "capitals", "distinct", "coverage", "longest_letters", "slashes", "in_path", "secret_word", "plain_word", "assigned", "dashes", "hex")
+FEATURES = ("size", "transitions", "digits", "capitals", "distinct", "coverage", "longest_letters", "slashes", "in_path", "secret_word", "plain_word", "assigned", "dashes", "hex", "symbols", "login")
 
 
 def _features(c: Column, before: Column, after: Column) -> Column:
@@ -68,11 +75,13 @@ def _features(c: Column, before: Column, after: Column) -> Column:
         "assigned": before.rlike(r"[=:]\s{0,2}[\"'`]?$").cast("double"),
         "dashes": F.regexp_count(c, F.lit("[-_]")) / size,
         "hex": c.rlike(r"^[0-9a-f]+$").cast("double"),
+        "symbols": F.regexp_count(c, F.lit(r"[^\p{L}\p{M}0-9_/+=\-]")) / size,
+        "login": (before.rlike(r"://[^\s/:@]*:$") & after.rlike("^@")).cast("double"),
     }
     return F.struct(*(values[n].cast("double").alias(n) for n in FEATURES))
 
 
-def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, int]]:
+def labelled_findings(n: int = 8000, seed: int = 7) -> list[tuple[str, str, str, int]]:
     """Labelled findings made by rule (candidate, before, after, 1 for a secret), for lack of a recorded table."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
@@ -81,11 +90,37 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     syllable = lambda k: "".join(rng.choice("bcdfghlmnprstvz") + rng.choice("aeiou") for _ in range(k))
     filler = lambda: " ".join(syllable(rng.randint(1, 4)) for _ in range(rng.randint(1, 5)))
     digits = string.digits
-    secrets = [lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(alnum, rng.randint(20, 64)), lambda: pick(alnum + "+/", rng.randint(27, 87)) + "=", lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16), lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + pick(alnum, rng.randint(20, 36))]
+    secrets = [lambda: pick(hexa, rng.choice((32, 40, 40, 64))), lambda: pick(alnum, rng.randint(20, 64)), lambda: pick(alnum + "+/", rng.randint(27, 87)) + "=", lambda: pick(string.ascii_letters, rng.randint(16, 48)), lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16), lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + pick(alnum, rng.randint(20, 36))]
     named = ("token", "secret", "api_key", "password", "auth", "access_key", "private_key", "Authorization: Bearer", "client_secret", "key")
+    marks = "!.#$%&*?^~@-+"
+    plain = lambda: rng.choice((word, lambda: syllable(rng.randint(1, 6)), lambda: word().capitalize(), lambda: word() + rng.choice(".)!?"), lambda: pick(digits, rng.randint(1, 4)), lambda: rng.choice(("none", "null", "true", "false", "required", "string", "public", "yes", "no", "***", "-", "(", "the", "a"))))()
+    spiced = lambda k: "".join(rng.sample(pick(string.ascii_letters, k - k // 3 - 1) + pick(digits, k // 3) + rng.choice(marks), k))
+    chosen = lambda: rng.choice((lambda: spiced(rng.randint(6, 24)), lambda: pick(alnum, rng.randint(8, 24)), lambda: syllable(rng.randint(2, 4)) + pick(digits, rng.randint(1, 3)) + rng.choice(marks) + pick(alnum, rng.randint(2, 5)), lambda: word().capitalize() + pick(digits, rng.randint(2, 4)) + rng.choice(marks) + word(), lambda: pick(hexa, rng.randint(8, 15))))()
     out = []
     while len(out) < n:
-        if rng.random() < 0.5:
+        kind = rng.random()
+        if kind < 0.15:
+            name, quote = rng.choice(named), rng.choice(("\"", "'", ""))
+            before, after, c, label = f"{name}{rng.choice((' = ', ': ', '=', ':'))}{quote}", quote or rng.choice((" ", "\n", "")), chosen(), 1
+        elif kind < 0.2:
+            c, before, after, label = chosen().replace("@", "!"), f"{rng.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{syllable(2)}:", "@" + rng.choice(("host", "db.", "10.")) + syllable(2), 1
+        elif kind < 0.35:
+            name, quote = rng.choice((*named, "author", "Note", word(), word(), word(), syllable(2))), rng.choice(("\"", "", ""))
+            before, after, c, label = f"{name}{rng.choice((' = ', ': ', ': ', '=', ':'))}{quote}", quote or rng.choice((" ", "\n", "")), plain(), 0
+        elif kind < 0.4:
+            c, before, after = rng.choice((
+                lambda: (syllable(2), rng.choice(("mailto:", "Email:")), "@" + syllable(3)),
+                lambda: (f"{rng.randint(0, 59):02d}" + rng.choice(("", f":{rng.randint(0, 59)}", "pm")), f"{rng.randint(1, 12)}:", " "),
+                lambda: (chosen(), f"{rng.choice(('id', 'version', 'href', 'src', 'file', 'page', 'ref', 'number'))}{rng.choice(('=', ': ', '=' + chr(34)))}", " "),
+                lambda: (f"{syllable(2)}@{syllable(2)}.org", "contact: ", " "),
+                lambda: ("/".join(word() for _ in range(rng.randint(2, 4))), rng.choice(("href=\"", "src=\"/", "url: ")), "\""),
+                lambda: (syllable(rng.randint(8, 400)), rng.choice((" ", "")), rng.choice((" ", "."))),
+                lambda: ("".join(word().capitalize() for _ in range(rng.randint(3, 5))), rng.choice((" ", "#", ".")), rng.choice((" ", "("))),
+                lambda: (rng.choice("-_=/+") * rng.randint(16, 60), rng.choice((" ", "\n")), "\n"),
+                lambda: (rng.choice("_-/").join(rng.choice((word, lambda: syllable(3)))() for _ in range(rng.randint(3, 6))), rng.choice((" ", "/", ".com/", "(")), rng.choice((" ", "/", ".html"))),
+            ))()
+            label = 0
+        elif kind < 0.7:
             c, name = rng.choice(secrets)(), rng.choice(named)
             before, after = rng.choice((f"{name} = \"", f"{name}: ", f"{name}=", f"'{name}': '", f"{name} ", f"{name.upper()}=")), rng.choice(("\"", "'", "", "\n", ";", "\"###", "\"$$$", ","))
             if rng.random() < 0.1:
@@ -103,7 +138,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
                 6: lambda: (f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-{word()}{rng.randint(1, 99)}", " ", " "),
                 7: lambda: (syllable(rng.randint(7, 14)) + str(rng.randint(1, 99)), " ", rng.choice((" ", ",", "."))),
             }[kind]()
-        if len(c) >= 16 and any(x.isdigit() for x in c):
+        if c:
             out.append((c, f"{filler()} {before}"[-BEFORE:], after, label))
     return out
 
