@@ -80,3 +80,22 @@ def test_short_digit_free_and_punctuated_secrets(spark, forest):
 def test_candidates_on_long_runs(spark, forest):
     df = spark.createDataFrame([(1, "key=" + "x&" * 20000), (2, 'a="' + "=:" * 20000), (3, ":" * 40000), (4, "=" * 40000 + "_" * 40000)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in s.with_secrets(df, forest).collect()) == [1, 2, 3, 4]
+
+
+def test_very_many_candidates_in_one_text(spark, forest):
+    """The cost of a text grows with its candidates, not with their square."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def scan(n):
+        words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substring(F.sha2(i.cast("string"), 256), 1, 20))
+        df = spark.range(1).select(F.concat_ws(" ", words).alias("text"))
+        began = time.perf_counter()
+        right = F.forall(F.slice("secrets", -50, 50), lambda x: F.substring(F.col("text"), x["start"] + 1, F.length(x["secret"])) == x["secret"])
+        found, ok = s.with_secrets(df, forest).select(F.size("secrets"), F.when(F.size("secrets") >= 50, right)).first()
+        return found, ok, time.perf_counter() - began
+
+    few, _, _ = scan(10_000)
+    many, ok, seconds = scan(100_000)
+    assert few > 5_000 and many > 9 * few and ok and seconds < 60

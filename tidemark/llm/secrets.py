@@ -32,6 +32,8 @@ _VALUE = rf"[^\s{_QUOTE}<>;,&=:][^\s{_QUOTE}<>;,&]*+(?:&(?!\w{{1,40}}=)[^\s{_QUO
 CANDIDATE = rf"(?<![A-Za-z0-9])(?:(?<=:)[^\s:/@{_QUOTE}<>]++(?=@[\w\[])|{_QUOTED}[^\s{_QUOTE}<>]++|{_BARE}{_VALUE}|(?<![{_KEY}])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}{_QUOTE}=]))?)"
 #: Code points of context before and after a candidate.
 BEFORE, AFTER = 40, 20
+#: Candidates whose lengths are added up together.
+RUN = 64
 REDACTED = "[SECRET]"
 #: Words whose letters count as covered by the dictionary (fixed values).
 DICTIONARY = """about account address admin agent alpha animal archive article asset author backup banner base beta block board book
@@ -149,6 +151,16 @@ class Forest:
 
     trees: tuple
 
+    def probabilities(self, features: Column) -> Column:
+        """The probability of each struct of features in an array."""
+        return F.transform(features, lambda f: sum((self._column(t, f) for t in self.trees[1:]), self._column(self.trees[0], f)) / len(self.trees))
+
+    def _column(self, tree, f: Column) -> Column:
+        if isinstance(tree, float):
+            return F.lit(tree)
+        feature, threshold, low, high = tree
+        return F.when(f[FEATURES[feature]] <= threshold, self._column(low, f)).otherwise(self._column(high, f))
+
     def sql(self, of: str) -> str:
         return "(" + " + ".join(self._case(t, of) for t in self.trees) + f") / {len(self.trees)}"
 
@@ -201,21 +213,37 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
     return grow(np.array([tuple(r["f"]) for r in got]), np.array([r["label"] for r in got], float))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions may use any number of times, in lambdas too, yet are computed once a row: the
+    optimiser puts an expression of a plain projection in each place that refers to it, but not one behind a generator."""
+    (step,) = fresh(df, "__step")
+    made = df.withColumn(step, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return made.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"{step}.`{n}`").alias(n) for n in columns))
+
+
 def with_secrets(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Add ``secrets``: start, secret and probability of each finding, in order; and ``redacted``, the text without them."""
+    """Add ``secrets``: start, secret and probability of each finding, in order; and ``redacted``, the text without them.
+
+    The work grows with the text: each candidate is judged once, and its start is the sum of the lengths before it, kept
+    by blocks of ``RUN`` candidates."""
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("secrets", "redacted")))
-    found, around, judged = fresh(docs, "__found", "__around", "__judged")
+    found, around, judged, lengths, blocks, bases = names = fresh(docs, "__found", "__around", "__judged", "__lengths", "__blocks", "__bases")
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn(found, F.regexp_extract_all(whole, F.lit(CANDIDATE), 0))
-    any_found = F.size(found) > 0
-    df = df.withColumn(around, F.when(any_found, F.split(whole, CANDIDATE)).otherwise(F.array(whole)))
-    parts = F.col(around)
-    features = F.transform(found, lambda c, i: _features(c, F.right(F.get(parts, i), F.lit(BEFORE)), F.left(F.get(parts, i + 1), F.lit(AFTER))))
-    df = df.withColumn(judged, features).withColumn(judged, F.expr(f"transform({judged}, f -> {forest.sql('f')})"))
-    lengths = F.zip_with(F.transform(parts, lambda p: F.length(p)), F.transform(found, lambda c: F.length(c)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
-    start = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda s, x: s + x["a"] + x["b"]) - F.length(F.get(F.col(found), i))
-    listed = F.transform(found, lambda c, i: F.struct(start(i).alias("start"), c.alias("secret"), F.get(F.col(judged), i).alias("probability")))
-    kept = F.filter(listed, lambda x: x["probability"] >= threshold)
-    shown = F.transform(parts, lambda p, i: F.concat(p, F.when(F.get(F.col(judged), i) >= threshold, REDACTED).otherwise(F.coalesce(F.get(F.col(found), i), F.lit("")))))
+    c_found, parts, p, n, sums, base = (F.col(x) for x in names)
+    df = _once(docs, **{found: F.regexp_extract_all(whole, F.lit(CANDIDATE), 0)})
+    any_found = F.size(c_found) > 0
+    df = _once(df, **{around: F.when(any_found, F.split(whole, CANDIDATE))})
+    features = F.transform(c_found, lambda c, i: _features(c, F.right(F.get(parts, i), F.lit(BEFORE)), F.left(F.get(parts, i + 1), F.lit(AFTER))))
+    df = _once(df, **{judged: F.when(any_found, forest.probabilities(features)), lengths: F.when(any_found, F.transform(c_found, lambda c, i: F.length(F.get(parts, i)) + F.length(c)))})
+    added = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    df = _once(df, **{blocks: F.when(any_found, F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / RUN).cast("int")), lambda b: added(F.slice(n, b * RUN + 1, F.lit(RUN)))))})
+    df = _once(df, **{bases: F.transform(sums, lambda _, b: added(F.slice(sums, F.lit(1), b)))})
+
+    def start(c: Column, i: Column) -> Column:
+        return F.get(base, F.floor(i / RUN).cast("int")) + added(F.slice(n, i - i % RUN + 1, i % RUN + 1)) - F.length(c)
+
+    listed = F.transform(c_found, lambda c, i: F.when(F.get(p, i) >= threshold, F.struct(start(c, i).alias("start"), c.alias("secret"), F.get(p, i).alias("probability"))))
+    shown = F.transform(parts, lambda x, i: F.concat(x, F.when(F.get(p, i) >= threshold, REDACTED).otherwise(F.coalesce(F.get(c_found, i), F.lit("")))))
     none = F.array().cast("array<struct<start:int,secret:string,probability:double>>")
-    return df.withColumns({"secrets": F.when(any_found, kept).otherwise(none), "redacted": F.when(any_found, F.array_join(shown, "")).otherwise(F.col(text))}).drop(found, around, judged)
+    out = _once(df, secrets=F.when(any_found, F.filter(listed, lambda x: x.isNotNull())).otherwise(none), redacted=F.when(any_found, F.array_join(shown, "")).otherwise(F.col(text)))
+    return out.drop(*names)
