@@ -54,7 +54,7 @@ def test_all_links_match_brute_force(spark, near_copies):
     assert {r["doc_id"] for r in members.collect()} == set(texts)
 
 
-@pytest.mark.parametrize(("name", "value"), [("PART", 3), ("FREQUENT", 4), ("FAN", 2), ("HUB_ROUNDS", 1), ("BLOCK", 50)])
+@pytest.mark.parametrize(("name", "value"), [("PART", 3), ("FREQUENT", 4), ("ROWS", 50), ("TOGETHER", 64), ("HUBS", ((5,),)), ("BLOCK", 50)])
 def test_sizes_do_not_change_the_result(spark, near_copies, monkeypatch, name, value):
     monkeypatch.setattr(ngram_join, name, value)
     got = ngram_join.near_duplicate_classes(spark.createDataFrame(near_copies, SCHEMA)).collect()

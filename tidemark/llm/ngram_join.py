@@ -1,23 +1,27 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows are distinct shingle sets (copies are one row), columns are shingles. The product of a block of
-columns gives pairs of rows that share a column; a pair lives on only while the largest overlap it can
-still reach is at least the smallest that two sets of its sizes need. Three exact bounds apply:
+Rows are distinct shingle sets (copies are one row), columns are shingles. The product is taken in two steps, and a
+pair of rows lives on only while the largest overlap it can still reach is at least the smallest that two sets of its
+sizes need:
 
-* a set needs only its rarest ``n - ceil(t n) + 1`` shingles in the matrix (any order is exact; rare first
-  makes the columns short, and which shingles are frequent is counted over all documents);
-* a shared column at positions i and j leaves an overlap of ``min(n1 - i, n2 - j)`` at most;
-* two sets differ in at least as many shingles as their parity bitmaps differ in bits (a bitmap has about as
-  many bits as its set has shingles, and folds to half its size by exclusive or).
+* over blocks of columns, of the rows' rarest ``n - ceil(t n) + 1`` shingles each (any order is exact; rare first makes
+  the columns short, and which shingles are frequent is counted over all documents). Overlap counts are accumulated per
+  pair in a block and summed over blocks. Pairs need sizes that allow the similarity, a shared column early enough in
+  both rows, a count that the rest of the rows can still make up, and parity bitmaps that differ in few enough bits
+  (two sets differ in at least as many shingles; a bitmap has about as many bits as its set has shingles);
+* over blocks of rows: a row with those it is paired with, over all their columns. These counts decide.
 
-For the pairs that are left, overlaps are accumulated over the full rows. Links are found in rounds: first
-each set with its neighbour by size and with one hub of the column, then with further hubs, then every pair
-whose ends are still not connected. So a group of near copies costs links in proportion to its size, yet no
-connection is missed. ``links=True`` skips that saving and returns every link between different sets.
+Links are found in rounds: first each row of a column with its neighbour by size and with two hubs of the column, then,
+where they are not connected yet, with further hubs, at last every pair whose ends are not connected. So a group of near copies costs links in proportion to its size, yet
+no connection is missed. ``links=True`` skips that saving and returns every link between different sets.
+
+Columns with more than ``PART`` rows that are known to be frequent are dealt to several tasks: rounds with hubs link
+the hubs of the parts with one of them, the last lays tiles over the rows outside the column's largest group.
 
 Results for unusual input: null and blank texts have an empty set and link with nothing; equal rows link
-with each other; a text of any length is one row; an empty table gives an empty table; columns besides
-doc_id and text are not read; rows without a doc_id are kept, and link with nothing.
+with each other; rows with one doc_id and different texts are different documents; a text of any length is one row; an
+empty table gives an empty table; columns besides doc_id and text are not read; rows without a doc_id are kept, and
+link with nothing.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import forget, materialise
 from tidemark.llm.graph import connected_components
 from tidemark.llm.shingles import N_WORDS, all_shingle_sets, mix
 
@@ -39,17 +43,22 @@ PERCENT = 75
 LEAST_BITS = 512
 #: At most so many of the most frequent shingles go last in the order; 12 bytes each are broadcast.
 FREQUENT = 1 << 17
-#: Matrix entries in a block of columns, and in one part of a column (longer ones are split).
-BLOCK, PART = 150_000, 4_000
+#: Shingles that a task counts together; those seen fewer than SEEN times in a full count are dropped from it, so a
+#: count is too low by at most SEEN - 1 a task and CHUNK shingles. That costs order and balance, never a link.
+CHUNK, SEEN = 1 << 20, 4
+#: Matrix entries in a block of columns, and rows in one part of a frequent column.
+BLOCK, PART = 60_000, 1_000
+#: Hubs of the first and the second round, as seeds of the order that they come first in.
+HUBS = ((0, 1), (2, 3, 4))
+#: Pairs counted together in a task.
+TOGETHER = 1 << 21
 #: Bits of the filter that spares the shuffle of texts in no pair; its size is fixed.
 FILTER_BITS = 1 << 23
-#: Members verified against a set in one group.
-FAN = 256
-#: Rounds that link sets with hubs before all pairs between groups are looked at.
-HUB_ROUNDS = 2
+#: Shingles in a block of rows (a single row may have more).
+ROWS = 1 << 20
 
 _U = np.uint64
-_ROW = "kind int, doc_id long, n long, k1 long, k2 long, bitmap binary"
+_ROW = "kind int, doc_id long, t long, n long, k1 long, k2 long, bitmap binary"
 
 
 def _need(total, percent: int):
@@ -68,6 +77,21 @@ def _keys(own: np.ndarray) -> tuple[int, int]:
         return tuple(mix(sums + _U(len(own))).view(np.int64).tolist())
 
 
+def _row_key(k1: int, k2: int, turn: int) -> int:
+    """The number of a row: its first key, or mixed with the second turned by some bits where first keys meet."""
+    if not turn:
+        return k1
+    k2 &= (1 << 64) - 1
+    turned = (k2 << turn | k2 >> (64 - turn)) & ((1 << 64) - 1)
+    return k1 ^ (turned - (turned >> 63 << 64))
+
+
+def _row_key_column(turn: int) -> Column:
+    if not turn:
+        return F.col("k1")
+    return F.col("k1").bitwiseXOR(F.shiftleft("k2", turn).bitwiseOR(F.shiftrightunsigned("k2", 64 - turn)))
+
+
 def _bitmap(own: np.ndarray) -> bytes:
     bits = max(LEAST_BITS, 1 << (len(own) - 1).bit_length())
     odd = np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -106,22 +130,22 @@ def _near(apart: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """Kind 0: each document's set size, keys and bitmap. Kind 1: a task's frequent shingles (k1) with counts (n)."""
+    """Kind 0: each document's text hash, set size, keys and bitmap. Kind 1: a task's frequent shingles (k1) with counts (n)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, common = [], 0, []
 
         def frequent() -> None:
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            common.append(pd.DataFrame({"k1": hashes.view(np.int64), "n": counts})[counts >= 4])
+            common.append(pd.DataFrame({"k1": hashes.view(np.int64), "n": counts})[counts >= (SEEN if size > CHUNK // 8 else 2)])
 
         for batch in batches:
             out = []
-            for doc_id, own in zip(batch["doc_id"], all_shingle_sets(batch["text"], n_words), strict=True):
-                out.append((0, doc_id, len(own), *(_keys(own) if len(own) else (0, 0)), _bitmap(own) if len(own) else None))
+            for doc_id, t, own in zip(batch["doc_id"], batch["t"], all_shingle_sets(batch["text"], n_words), strict=True):
+                out.append((0, doc_id, t, len(own), *(_keys(own) if len(own) else (0, 0)), _bitmap(own) if len(own) else None))
                 held.append(own)
                 size += len(own)
-                if size > 1 << 20:
+                if size > CHUNK:
                     frequent()
                     held, size = [], 0
             yield _frame(out)
@@ -129,62 +153,66 @@ def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
             frequent()
         if common:
             found = pd.concat(common).groupby("k1", as_index=False)["n"].sum()
-            yield _frame([(1, None, n, h, 0, None) for h, n in zip(found["k1"], found["n"], strict=True)])
+            yield _frame([(1, None, 0, n, h, 0, None) for h, n in zip(found["k1"], found["n"], strict=True)])
 
     def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["kind", "doc_id", "n", "k1", "k2", "bitmap"])
+        frame = pd.DataFrame(out, columns=["kind", "doc_id", "t", "n", "k1", "k2", "bitmap"])
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, _ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInPandas(rows, _ROW)
 
 
-_ENTRY = np.dtype([("h", "u8"), ("k", "i8"), ("n", "u4"), ("at", "u4")])
+#: An entry: column (its upper 48 bits), row, size of the row, position in it, and parts of the column.
+_ENTRY = np.dtype([("h", "u8"), ("k", "i8"), ("n", "u4"), ("at", "u4"), ("s", "u2")])
 
 
-def _pack(h: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray) -> bytes:
-    return b"".join((h.astype("u8").tobytes(), k.astype("i8").tobytes(), n.astype("u4").tobytes(), at.astype("u4").tobytes()))
+def _pack(e: np.ndarray) -> bytes:
+    """Entries as planes of bytes, so that the many upper bytes that are alike compress to little."""
+    return b"".join(np.ascontiguousarray(e[name]).view(np.uint8).reshape(len(e), _ENTRY[name].itemsize).T.tobytes() for name in _ENTRY.names)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    count = len(data) // _ENTRY.itemsize
+    count, start = len(data) // _ENTRY.itemsize, 0
     out = np.empty(count, _ENTRY)
-    for name, start, width in (("h", 0, 8), ("k", 8, 8), ("n", 16, 4), ("at", 20, 4)):
-        out[name] = np.frombuffer(data, _ENTRY[name], count, start * count)
+    for name in _ENTRY.names:
+        width = _ENTRY[name].itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, width * count, start).reshape(width, count).T).view(_ENTRY[name]).ravel()
+        start += width * count
     return out
 
 
-def _incidence(docs: DataFrame, ranks, n_blocks: int, percent: int, n_words: int) -> DataFrame:
-    """(block, payload): the matrix entries (shingle, set, set size, position) of a block of columns, packed by task."""
+def _cell(h: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The column, or the row's part of a column with several parts."""
+    part = mix(np.ascontiguousarray(k).view(_U)) % s.astype(_U)
+    return np.where(s > 1, mix(h + part + _U(1)), h)
+
+
+def _incidence(docs: DataFrame, ranks, n_blocks: int, percent: int, n_words: int, turn: int) -> DataFrame:
+    """(block, payload): the matrix entries of a block of columns, packed by task."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counts = ranks.value
-        parts = np.maximum(1, -(-counts // PART))
+        parts = np.minimum(np.maximum(1, -(-counts // PART)), 65535)
         seen: set[int] = set()
         held: list[tuple] = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            h, k, n, at, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(wide := np.flatnonzero(s > 1)):  # an entry of a split column goes to each part of it that pairs with its own
-                copies = s[wide]
-                which = np.repeat(wide, copies)
-                other = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-                mine = (mix(k[which].view(_U)) % s[which].astype(_U)).astype(np.int64)
-                cell = np.minimum(mine, other) * s[which] + np.maximum(mine, other) + 1
-                narrow = np.flatnonzero(s <= 1)
-                h = np.concatenate([h[narrow], mix(h[which] + cell.astype(_U))])
-                k, n, at = (np.concatenate([x[narrow], x[which]]) for x in (k, n, at))
-            block = ((h >> _U(32)) * _U(n_blocks) >> _U(32)).astype(np.int64)
+            e = np.empty(size, _ENTRY)
+            for name, column in zip(_ENTRY.names, zip(*held, strict=True), strict=True):
+                e[name] = np.concatenate(column)
+            block = ((_cell(e["h"], e["k"], e["s"]) >> _U(32)) * _U(n_blocks) >> _U(32)).astype(np.int64)
+            e["h"] >>= _U(16)
             order = np.argsort(block, kind="stable")
-            h, k, n, at, block = h[order], k[order], n[order], at[order], block[order]
+            e, block = e[order], block[order]
             cut = np.flatnonzero(np.diff(block)) + 1
-            return pd.DataFrame([(int(block[a]), _pack(h[a:b], k[a:b], n[a:b], at[a:b])) for a, b in zip([0, *cut], [*cut, len(h)], strict=True)], columns=["block", "payload"])
+            return pd.DataFrame([(int(block[a]), _pack(e[a:b])) for a, b in zip([0, *cut], [*cut, len(e)], strict=True)], columns=["block", "payload"])
 
         for batch in batches:
             for own in all_shingle_sets(batch["text"], n_words):
                 if not len(own):
                     continue
-                key = _keys(own)[0]
+                key = _row_key(*_keys(own), turn)
                 if key in seen:
                     continue
                 if len(seen) >= 1 << 16:
@@ -210,127 +238,269 @@ def _incidence(docs: DataFrame, ranks, n_blocks: int, percent: int, n_words: int
 
 
 def _shared(block: pd.DataFrame) -> pd.DataFrame:
-    """The columns of a block that more than one set has, packed in the order of column, size and set."""
+    """The columns of a block that more than one row has, and parts of columns, in the order of column, size and row."""
     e = np.concatenate([_unpack(x) for x in block["payload"]])
-    e = e[np.lexsort((e["k"], e["n"], e["h"]))]
-    e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["k"][1:] != e["k"][:-1])])]
-    same = e["h"][1:] == e["h"][:-1]
-    e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    return pd.DataFrame({"block": [int(block["block"].iloc[0])], "payload": [_pack(e["h"], e["k"], e["n"], e["at"])]})
-
-
-def _can(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether two entries of a column leave a large enough overlap."""
-    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    return (np.minimum(n - a["at"], m - b["at"]) >= _need(n + m, percent)) & (a["k"] != b["k"])
-
+    cell = _cell(e["h"], e["k"], e["s"])
+    order = np.lexsort((e["k"], e["n"], cell))
+    e, cell = e[order], cell[order]
+    first = np.concatenate([[True], (cell[1:] != cell[:-1]) | (e["k"][1:] != e["k"][:-1])])
+    e, cell = e[first], cell[first]
+    same = cell[1:] == cell[:-1]
+    e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (e["s"] > 1)]
+    return pd.DataFrame({"block": [int(block["block"].iloc[0])], "payload": [_pack(e)]})
+
+
+#: A pair: rows, shared columns counted, whether one of them comes early enough in both rows, and sizes.
+_PAIR = "ka long, kb long, c long, early boolean, na long, nb long"
+
+
+class _Counts:
+    """Accumulates the shared columns of pairs in bounded memory."""
+
+    def __init__(self, percent: int):
+        self.percent, self.held, self.size = percent, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Count pairs of entries; now and then yields what has been counted."""
+        n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+        fits = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (a["k"] != b["k"])
+        a, b, n, m = a[fits], b[fits], n[fits], m[fits]
+        early = np.minimum(n - a["at"], m - b["at"]) >= _need(n + m, self.percent)
+        turned = a["k"] > b["k"]
+        out = [np.where(turned, y, x) for x, y in ((a["k"], b["k"]), (n, m))] + [np.where(turned, x, y) for x, y in ((a["k"], b["k"]), (n, m))]
+        self.held.append((out[0], out[2], np.ones(len(a), np.int64), early, out[1], out[3]))
+        self.size += len(a)
+        if self.size >= TOGETHER:
+            frame = self.frame()
+            if len(frame) > TOGETHER // 2:
+                yield frame
+                self.held, self.size = [], 0
+            else:
+                self.held, self.size = [tuple(frame[c].to_numpy() for c in frame)], len(frame)
 
-def _unique_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-    return pd.DataFrame({"ka": np.minimum(a, b), "kb": np.maximum(a, b)}).drop_duplicates()
+    def frame(self) -> pd.DataFrame:
+        columns = [np.concatenate(x) for x in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [x[order] for x in columns]
+        if not len(order):
+            return pd.DataFrame(dict(zip(("ka", "kb", "c", "early", "na", "nb"), columns, strict=True))).astype({"early": bool})
+        first = np.flatnonzero(np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]))
+        c, early = np.add.reduceat(columns[2], first), np.logical_or.reduceat(columns[3], first)
+        return pd.DataFrame({"ka": columns[0][first], "kb": columns[1][first], "c": c, "early": early, "na": columns[4][first], "nb": columns[5][first]})
 
 
-def _hubs(e: np.ndarray, seed: int) -> np.ndarray:
-    """For each entry, sorted by column, the place of its column's hub: the set that comes first in an order by hash."""
+def _hubs(e: np.ndarray, cell: np.ndarray, seed: int) -> np.ndarray:
+    """For each entry, sorted by column, the place of its column's hub: the row that comes first in an order by hash."""
     with np.errstate(over="ignore"):
-        order = np.lexsort((mix(np.ascontiguousarray(e["k"]).view(_U) + _U(seed) * _U(0x9E3779B97F4A7C15)), e["h"]))
-    h = e["h"][order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
+        order = np.lexsort((mix(np.ascontiguousarray(e["k"]).view(_U) + _U(seed) * _U(0x9E3779B97F4A7C15)), cell))
+    sorted_cell = cell[order]
+    first = np.concatenate([[True], sorted_cell[1:] != sorted_cell[:-1]])
     hub = order[np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))]
     out = np.empty(len(e), np.int64)
     out[order] = hub
     return out
 
 
-def _neighbours(shared: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of the first round: neighbours by size in a column, and each entry with the column's hub."""
+def _with_hubs(e: np.ndarray, g: np.ndarray | None, seeds: tuple[int, ...], counts: _Counts) -> Iterator[pd.DataFrame]:
+    """Count each row of a column with its neighbour by size and with the column's hubs, if their groups differ."""
+    if not len(e):
+        return
+    cell, every = _cell(e["h"], e["k"], e["s"]), np.arange(len(e))
+    beside = np.flatnonzero(cell[:-1] == cell[1:])
+    for i, j in [(beside, beside + 1), *((every, _hubs(e, cell, seed)) for seed in seeds)]:
+        if g is not None:
+            apart = g[i] != g[j]
+            i, j = i[apart], j[apart]
+        yield from counts.add(e[i], e[j])
+
+
+def _first_pairs(columns: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
+    """Pairs of the first round."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for payload in batch["payload"]:
+                counts = _Counts(percent)
+                yield from _with_hubs(_unpack(payload), None, seeds, counts)
+                yield counts.frame()
+
+    return columns.mapInPandas(rows, _PAIR).union(_hubs_of_parts(columns, seeds, percent))
+
+
+def _hubs_of_parts(columns: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
+    """Pairs of the hubs of a column's parts with one of them."""
+
+    def hubs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for payload in batch["payload"]:
                 e = _unpack(payload)
-                a, b, hub = e[:-1], e[1:], e[_hubs(e, 0)]
-                beside, below = (a["h"] == b["h"]) & _can(a, b, percent), _can(e, hub, percent)
-                yield _unique_pairs([(a["k"][beside], b["k"][beside]), (e["k"][below], hub["k"][below])])
+                e = e[e["s"] > 1]
+                if len(e):
+                    cell = _cell(e["h"], e["k"], e["s"])
+                    yield _flat(e[np.unique(np.concatenate([_hubs(e, cell, seed) for seed in seeds]))])
 
-    return shared.mapInPandas(rows, "ka long, kb long").distinct()
+    def join_parts(column: pd.DataFrame) -> pd.DataFrame:
+        e, counts = _entries(column), _Counts(percent)
+        found = [x for seed in seeds for x in counts.add(e, e[_hubs(e, e["h"], seed)])]  # a row for each part and seed
+        return pd.concat([*found, counts.frame()])
 
+    return columns.mapInPandas(hubs, _FLAT).groupBy("h").applyInPandas(join_parts, _PAIR)
 
-def _open_columns(shared: DataFrame, groups: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Entries with group and bitmap of the columns whose sets are not all in one group."""
-    shortest = 2 if groups is None else 3  # two entries of a column were neighbours in the first round
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_FLAT = "h long, k long, n long, at long, s int"
+
+
+def _flat(e: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({name: np.ascontiguousarray(e[name]).astype(np.int64) for name in _ENTRY.names}).astype({"s": "int32"})
+
+
+def _entries(flat: pd.DataFrame) -> np.ndarray:
+    e = np.empty(len(flat), _ENTRY)
+    for name in _ENTRY.names:
+        e[name] = flat[name].to_numpy()
+    return e
+
+
+def _between_groups(columns: DataFrame, groups: DataFrame | None, percent: int, seeds: tuple[int, ...] = ()) -> DataFrame:
+    """All pairs of rows of a column that are in different groups (k, g); without groups, all pairs of rows. With seeds,
+    those with their neighbours and hubs alone."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, payload in zip(batch["block"], batch["payload"], strict=True):
                 e = _unpack(payload)
-                _, column, size = np.unique(e["h"], return_inverse=True, return_counts=True)
-                e = e[size[column] >= shortest]
-                yield pd.DataFrame({"block": block, "h": np.ascontiguousarray(e["h"]).view(np.int64), "k": e["k"], "n": e["n"].astype(np.int64), "at": e["at"].astype(np.int64)})
+                yield pd.DataFrame({"block": block, "k": np.unique(e["k"] if seeds else e["k"][e["s"] == 1])})
+
+    blocks = columns.select("block", "payload", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("g"))
+    if groups is not None:
+        blocks = blocks.union(columns.mapInPandas(members, "block int, k long").join(groups, "k").select("block", F.lit(None).cast("binary"), "k", "g"))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data, own = [], []
+        for batch in batches:
+            is_data = batch["payload"].notna()
+            data += batch["payload"][is_data].tolist()
+            own.append(batch.loc[~is_data, ["k", "g"]])
+        e, known = np.concatenate([_unpack(x) for x in data]), pd.concat(own)
+        g, counts = _group_of(e["k"], known["k"].to_numpy(), known["g"].to_numpy()), _Counts(percent)
+        if seeds:
+            yield from _with_hubs(e, g, seeds, counts)
+        e, g = e[e["s"] == 1], g[e["s"] == 1]
+        if seeds or not len(e):
+            yield counts.frame()
+            return
+        cut = np.flatnonzero(np.diff(e["h"])) + 1
+        starts, ends = np.array([0, *cut]), np.array([*cut, len(e)])
+        low, high = np.minimum.reduceat(g, starts), np.maximum.reduceat(g, starts)
+        sizes, mixed = ends - starts, low < high
+        for m in np.unique(sizes[mixed]).tolist():  # all columns of one length together
+            first = starts[mixed & (sizes == m)]
+            for i, j in _pairs_within(m):
+                step = max(1, TOGETHER // max(1, len(i)))
+                for at in range(0, len(first), step):
+                    a, b = (np.add.outer(first[at : at + step], x).ravel() for x in (i, j))
+                    apart = g[a] != g[b]
+                    yield from counts.add(e[a[apart]], e[b[apart]])
+        yield counts.frame()
+
+    pairs = blocks.groupBy("block").applyInPandas(rows, _PAIR)
+    return pairs.union(_hubs_of_parts(columns, seeds, percent) if seeds else _tiles(columns, groups, percent))
+
+
+def _group_of(k: np.ndarray, known: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The group of each row; a row in none is its own."""
+    if not len(known):
+        return k.copy()
+    order = np.argsort(known)
+    known, group = known[order], group[order]
+    place = np.minimum(np.searchsorted(known, k), len(known) - 1)
+    return np.where(known[place] == k, group[place], k)
+
+
+def _pairs_within(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of m places, in bounded pieces."""
+    step = max(1, TOGETHER // (2 * m))
+    for start in range(0, m - 1, step):
+        own = np.arange(start, min(start + step, m - 1))
+        counts = m - 1 - own
+        i = np.repeat(own, counts)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + i + 1
+
+
+def _tiles(columns: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs between groups of columns with several parts. The rows of the column's largest group meet the others in
+    tiles of bounded size, and so do the others among themselves; a column of one group has no tile."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for payload in batch["payload"]:
+                e = _unpack(payload)
+                yield _flat(e[e["s"] > 1])
 
-    schema = "block int, h long, k long, n long, at long"
-    flat = shared.mapInPandas(entries, schema)
+    flat = columns.mapInPandas(entries, _FLAT)
     if groups is None:
         flat = flat.withColumn("g", F.col("k"))
     else:
         flat = flat.join(groups, "k", "left").withColumn("g", F.coalesce("g", "k"))
-        flat = flat.groupBy("block").applyInPandas(lambda block: block[block.groupby("h")["g"].transform("nunique") > 1], f"{schema}, g long")
-    return flat.join(sets.groupBy(F.col("k1").alias("k")).agg(F.any_value("bitmap").alias("bitmap")), "k")
-
-
-def _between_groups(columns: DataFrame, percent: int, seed: int | None) -> DataFrame:
-    """Candidate pairs whose ends are in different groups: each entry with the column's hub, or (no seed) all of them."""
-
-    def rows(block: pd.DataFrame) -> pd.DataFrame:
-        e = np.zeros(len(block), [*_ENTRY.descr, ("g", "i8")])
-        for name in ("k", "n", "at", "g"):
-            e[name] = block[name].to_numpy()
-        e["h"] = block["h"].to_numpy().view(_U)
-        order = np.lexsort((e["n"], e["h"]))
-        e, bitmap = e[order], _Bitmaps(block["bitmap"].iloc[order])
-
-        def chosen(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ok = np.flatnonzero(_can(e[i], e[j], percent) & (e["g"][i] != e["g"][j]))
-            i, j = i[ok], j[ok]
-            ok = _near(bitmap.apart(i, bitmap, j), e["n"][i].astype(np.int64) + e["n"][j], percent)
-            return e["k"][i[ok]], e["k"][j[ok]]
-
-        def together(out: pd.DataFrame, found: list) -> pd.DataFrame:
-            if not found:
-                return out
-            return pd.concat([out, _unique_pairs([chosen(*(np.concatenate([p[k] for p in found]) for k in (0, 1)))])]).drop_duplicates()
-
-        if seed is not None:
-            return _unique_pairs([chosen(np.arange(len(e)), _hubs(e, seed))])
-        cut = np.flatnonzero(np.diff(e["h"])) + 1
-        found, size, out = [], 0, pd.DataFrame({"ka": [], "kb": []}, dtype="int64")
-        for start, end in zip([0, *cut], [*cut, len(e)], strict=True):
-            top = start + np.searchsorted(e["n"][start:end], e["n"][start:end].astype(np.int64) * 100 // percent, "right")
-            for i in range(start, end - 1):
-                j = np.arange(i + 1, top[i - start])
-                found.append((np.full(len(j), i), j))
-                size += len(j)
-                if size > 200_000:
-                    out, found, size = together(out, found), [], 0
-        return together(out, found)
-
-    return columns.groupBy("block").applyInPandas(rows, "ka long, kb long").distinct()
-
+    most = flat.groupBy("h", "g").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("total")).where("total > m")
+    parts = lambda n: F.expr(f"cast(({n} + {PART - 1}) div {PART} AS int)")
+    dealt = flat.join(most.select("h", "main", parts("m").alias("s_main"), parts("total - m").alias("s_rest")), "h")
+    of = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    is_main, each = F.col("g") == F.col("main"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_rest = F.transform(each("s_rest"), lambda j: tile(0, of("s_main"), j))
+    with_main = F.transform(each("s_main"), lambda i: tile(0, i, of("s_rest")))
+    among_rest = F.transform(each("s_rest"), lambda j: tile(1, F.least(j, of("s_rest")), F.greatest(j, of("s_rest"))))
+    laid = dealt.withColumn("in_main", is_main).withColumn("part", of("s_rest")).withColumn("tile", F.explode(F.when(is_main, with_rest).otherwise(F.concat(with_main, among_rest))))
 
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with their documents, without those whose bitmaps differ in too many bits."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(batches))
+        e, g, part, main = _entries(own), own["g"].to_numpy(), own["part"].to_numpy(), own["in_main"].to_numpy()
+        counts = _Counts(percent)
+        if own["kind"].iloc[0] == 0:
+            left, right = np.flatnonzero(main), np.flatnonzero(~main)
+            for a in left:
+                yield from counts.add(e[np.full(len(right), a)], e[right])
+        else:
+            across = own["i"].iloc[0] != own["j"].iloc[0]
+            for i, j in _pairs_within(len(e)):
+                apart = (g[i] != g[j]) & ((part[i] != part[j]) if across else True)
+                yield from counts.add(e[i[apart]], e[j[apart]])
+        yield counts.frame()
+
+    return laid.select("h", "k", "n", "at", "s", "g", "in_main", "part", "tile.*").groupBy("h", "kind", "i", "j").applyInPandas(rows, _PAIR)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int, complete: bool) -> DataFrame:
+    """The pairs, their counts summed over all blocks, that may still reach the overlap they need, with their documents.
+    Unless the counts are complete (a hub is not the hub of all columns that it shares with a row), they say nothing."""
+    summed = pairs.groupBy("ka", "kb", "na", "nb").agg(F.sum("c").alias("c"), F.bool_or("early").alias("early"))
+    total = F.col("na") + F.col("nb")
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    rest = F.expr(f"({percent} * greatest(na, nb) + 99) div 100") - 1  # shingles of the larger row beyond the matrix
+    left = summed.where(F.col("early") & ((F.col("c") + rest >= need) if complete else F.lit(True)))
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
         each = np.arange(len(a))
         return pd.Series(_near(_Bitmaps(a).apart(each, _Bitmaps(b), each), total.to_numpy(), percent))
 
-    side = lambda x: sets.select(F.col("k1").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "bitmap")))
-    return pairs.join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("n_a") + F.col("n_b"))).select("ka", "kb", "rep_a", "rep_b")
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "bitmap")))
+    return left.join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", total)).select("ka", "kb", "na", "nb", "rep_a", "rep_b")
+
+
+def _hub_and_member(pairs: DataFrame) -> DataFrame:
+    """(hub, hub_doc, k, doc, n): each pair from the end that is in more pairs."""
+    ends = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).groupBy("k").agg(F.count("*").alias("of"))
+    both = pairs.join(ends.select(F.col("k").alias("ka"), F.col("of").alias("of_a")), "ka").join(ends.select(F.col("k").alias("kb"), F.col("of").alias("of_b")), "kb")
+    first = F.struct("of_a", "ka") >= F.struct("of_b", "kb")
+    pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    return both.select(pick("ka", "kb", "hub"), pick("rep_a", "rep_b", "hub_doc"), pick("kb", "ka", "k"), pick("rep_b", "rep_a", "doc"), pick("nb", "na", "n"))
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int) -> DataFrame:
-    """Links (src, dst, overlap, n_src, n_dst): pairs whose accumulated overlap reaches the threshold."""
+def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int, turn: int) -> DataFrame:
+    """Links (src, dst, overlap, n_src, n_dst, src_doc, dst_doc): a block has a row and rows it is paired with, whose
+    overlaps with it are accumulated over all columns."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
     ends = pairs.select(F.col("rep_a").alias("doc")).union(pairs.select("rep_b"))
@@ -346,73 +516,102 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int) ->
         return pd.Series((wanted.value[i >> 6] >> (i & 63)) & 1 == 1)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").withColumn("at", slot).where(may_be_wanted("at")).drop("at")
-    fan = pairs.groupBy("ka").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    split = pairs.join(fan, "ka").withColumn("part", F.pmod(F.xxhash64("kb"), F.col("fan")).cast("int"))
-    members = split.select("ka", "part", F.col("kb").alias("k"), F.col("rep_b").alias("doc")).union(split.select("ka", "part", "ka", "rep_a").distinct())
-
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        hub, members, done = None, [], set()
-        for k, doc, own in zip(group["k"], group["doc"], all_shingle_sets(group["text"], n_words), strict=True):
-            if not len(own) or _keys(own)[0] != k or k in done:  # another text of the same id, or a repeated row
+    linked = _hub_and_member(pairs)
+    size = linked.groupBy("hub").agg(F.ceil(F.sum("n") / ROWS).cast("int").alias("parts"))
+    split = linked.join(size, "hub").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    members = split.select("hub", "part", "k", "doc").union(split.select("hub", "part", "hub", "hub_doc").distinct())
+
+    def accumulate(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        hub, found, done = None, [], set()
+        for k, doc, own in zip(block["k"], block["doc"], all_shingle_sets(block["text"], n_words), strict=True):
+            if not len(own) or k in done or _row_key(*_keys(own), turn) != k:  # another text of the same id, or a repeated row
                 continue
             done.add(k)
             if k == key[0]:
                 hub = doc, own
             else:
-                members.append((doc, own))
-        out = []
-        for doc, own in members if hub else ():
-            overlap = np.intersect1d(hub[1], own, assume_unique=True).size
-            if 100 * overlap >= percent * (len(own) + len(hub[1]) - overlap):
-                out.append((hub[0], doc, overlap, len(hub[1]), len(own)))
-        return pd.DataFrame(out, columns=["src", "dst", "overlap", "n_src", "n_dst"], dtype="int64")
+                found.append((k, doc, own))
+        if not hub or not found:
+            return pd.DataFrame([], columns=list(_LINK_COLUMNS), dtype="int64")
+        sizes = np.array([len(own) for _, _, own in found])
+        column = np.concatenate([own for _, _, own in found])
+        hit = hub[1][np.minimum(np.searchsorted(hub[1], column), len(hub[1]) - 1)] == column
+        overlap = np.bincount(np.repeat(np.arange(len(found)), sizes)[hit], minlength=len(found))
+        ok = np.flatnonzero(100 * overlap >= percent * (sizes + len(hub[1]) - overlap))
+        out = [(key[0], found[i][0], overlap[i], len(hub[1]), sizes[i], hub[0], found[i][1]) for i in ok]
+        return pd.DataFrame(out, columns=list(_LINK_COLUMNS), dtype="int64")
 
-    return members.join(texts, "doc").groupBy("ka", "part").applyInPandas(verify, "src long, dst long, overlap long, n_src long, n_dst long")
+    return members.join(texts, "doc").groupBy("hub", "part").applyInPandas(accumulate, ", ".join(f"{c} long" for c in _LINK_COLUMNS))
+
+
+_LINK_COLUMNS = ("src", "dst", "overlap", "n_src", "n_dst", "src_doc", "dst_doc")
 
 
 class Join:
-    """The join of a table with itself: ``documents`` (doc_id, n_shingles, rep: the smallest doc_id with an equal
-    set), ``links`` between the representatives of different sets, and ``components``."""
+    """The join of a table with itself: ``documents``, ``links`` between different sets, and ``components``."""
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS, links: bool = False):
         spark = docs.sparkSession
         described = materialise(describe(docs, n_words), "sets")
-        self.rows = described.where("kind = 0").drop("kind")
-        self.sets = materialise(self.rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bitmap").alias("bitmap")), "classes")
+        self.rows = described.where("kind = 0").drop("kind", "bitmap")
+        kinds = described.where("kind = 0 and n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bitmap").alias("bitmap"))
+        self.sets = materialise(kinds, "classes")
+        turn = next(t for t in range(64) if self.sets.groupBy(_row_key_column(t)).count().where("count > 1").isEmpty())
+        self.sets = self.sets.withColumn("k", _row_key_column(turn))
         top = described.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "k1").limit(FREQUENT).toPandas()  # FREQUENT rows at most
         order = np.argsort(top["k1"].to_numpy().view(_U))
         ranks = spark.sparkContext.broadcast((top["k1"].to_numpy().view(_U)[order], top["n"].to_numpy(np.int64)[order]))
         entries = self.sets.agg(F.sum("n")).first()[0] or 0
         n_blocks = max(8, -(-entries * (100 - percent) // 100 // BLOCK))
-        shared = materialise(_incidence(docs, ranks, n_blocks, percent, n_words).groupBy("block").applyInPandas(_shared, "block int, payload binary"), "columns")
-        verified = lambda pairs: materialise(_overlaps(docs, materialise(_plausible(pairs, self.sets, percent), "pairs"), percent, n_words), "links")
+        columns = materialise(_incidence(docs, ranks, n_blocks, percent, n_words, turn).groupBy("block").applyInPandas(_shared, "block int, payload binary"), "columns")
+
+        def verified(pairs: DataFrame, complete: bool = True) -> DataFrame:
+            possible = materialise(_possible(pairs, self.sets, percent, complete), "pairs")
+            found = materialise(_overlaps(docs, possible, percent, n_words, turn), "links")
+            forget(possible)
+            return found
+
         if links:
-            self.links = verified(_between_groups(_open_columns(shared, None, self.sets), percent, None))
-            return
-        self.links = verified(_neighbours(shared, percent))
-        for seed in (*range(1, HUB_ROUNDS), None):
-            grouped = self.sets.join(connected_components(self.links), F.col("rep") == F.col("node")).groupBy(F.col("k1").alias("k")).agg(F.min("component").alias("g"))
-            self.links = self.links.union(verified(_between_groups(_open_columns(shared, grouped, self.sets), percent, seed)))
+            self.links = verified(_between_groups(columns, None, percent))
+        else:
+            self.links = verified(_first_pairs(columns, HUBS[0], percent), complete=False)
+            for seeds in (*HUBS[1:], ()):
+                groups = materialise(connected_components(self.links).select(F.col("node").alias("k"), F.col("component").alias("g")), "groups")
+                self.links = self.links.union(verified(_between_groups(columns, groups, percent, seeds), complete=not seeds))
+                forget(groups)
+        forget(columns)
 
     def components(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every row."""
-        found = self.sets.join(connected_components(self.links), F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-        own = self.rows.where("n > 0 and doc_id is not null").join(found, ["n", "k1", "k2"])
-        alone = self.rows.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-        pick = lambda df: df.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        """(doc_id, n_shingles, component_id, t, stays) for every row: t is the hash of its text; stays, whether this is
+        the document with the component's smallest id (of rows that repeat one, each has stays; of different texts with
+        that id in one component, one has)."""
+        found = connected_components(self.links).withColumnRenamed("node", "k")
+        linked = self.sets.drop("bitmap").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        least = linked.groupBy("component").agg(F.min(F.struct("rep", "k")).alias("least"))
+        sets = linked.join(least, "component").select("n", "k1", "k2", F.col("least.rep").alias("component_id"), (F.col("least.k") == F.col("k")).alias("chosen"))
+        own = self.rows.where("n > 0 and doc_id is not null").join(sets, ["n", "k1", "k2"])
+        alone = self.rows.where("n = 0 or doc_id is null").withColumns({"component_id": F.col("doc_id"), "chosen": F.lit(True)})
+        stays = (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
+        pick = lambda df: df.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "t", stays)
         return pick(own).union(pick(alone))
 
     def documents(self) -> DataFrame:
-        """(doc_id, n_shingles, rep) for every row; rep is null for an empty set."""
+        """(doc_id, n_shingles, rep) for every row; rep, the smallest doc_id with an equal set, is null for an empty set."""
         return self.rows.join(self.sets.drop("bitmap"), ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
 
+    def forget(self) -> None:
+        """Delete the join's tables, once its results have been written elsewhere."""
+        for table in (self.rows, self.sets, self.links):
+            forget(table)
+
 
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    return Join(docs, percent, n_words).components()
+    return Join(docs, percent, n_words).components().drop("t", "stays")
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Every link between different sets (src, dst, overlap, n_src, n_dst), and the membership of documents in sets."""
+    """Every link between different sets (src, dst, overlap, n_src, n_dst; ends are the sets' smallest doc_ids), and the
+    membership of documents in sets."""
     joined = Join(docs, percent, n_words, links=True)
-    return joined.links, joined.documents()
+    return joined.links.select(F.col("src_doc").alias("src"), F.col("dst_doc").alias("dst"), "overlap", "n_src", "n_dst"), joined.documents()
