@@ -14,9 +14,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all runs in one
+    process (tests). On a cluster a folder of this machine would hold but a part of what is written."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,11 +38,16 @@ def forget(df: DataFrame) -> None:
     """Delete the files behind a table written by :func:`materialise`, once nothing will read it again."""
     spark = df.sparkSession
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for folder in folders(df):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def folders(df: DataFrame) -> set[str]:
+    """The folders of the files that a table reads."""
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; null or blank text gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -20,9 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh
+from tidemark.llm.common import WORD, forget, fresh, materialise
 
-#: Labelled rows that the classifier is trained on, at most (those with the smallest hashes), and its words.
+#: Labelled rows that the classifier is trained on (those with the smallest hashes), and its words.
 LABELLED, DICTIONARY = 20_000, 64
 #: Projected-gradient steps, and the relative residual at which they end.
 STEPS, TOLERANCE = 30, 1e-6
@@ -51,15 +51,18 @@ class Classifier:
 
 
 def train(labelled: DataFrame, domains: tuple[str, ...], limit: int = LABELLED, n_words: int = DICTIONARY) -> Classifier:
-    """Fit the classifier on at most ``limit`` labelled rows (text, domain)."""
+    """Fit the classifier on ``limit`` labelled rows (text, domain): those with the smallest hashes, and equal rows with them."""
     rows = labelled.select("text", "domain").where(F.col("domain").isin(*domains) & F.col("text").isNotNull())
-    drawn = rows.orderBy(F.xxhash64("text", "domain"), "text", "domain").limit(limit).cache()
+    at = F.xxhash64("text", "domain")
+    last = rows.select(at.alias("at")).orderBy("at").limit(limit).agg(F.max("at")).first()[0]
+    chosen = rows.where(at <= last) if last is not None else rows.limit(0)
+    drawn = materialise(chosen.select("domain", letters(F.col("text")).alias("words")), "labelled")
     sizes = {r["domain"]: r["count"] for r in drawn.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     rate = lambda d: (F.coalesce(F.sum(F.when(F.col("domain") == d, 1)), F.lit(0)) + 1) / (sizes.get(d, 0) + 2)
-    seen = drawn.select("domain", F.explode(letters(F.col("text"))).alias("word")).where("word != ''").groupBy("word").agg(F.array(*(rate(d) for d in domains)).alias("p"))
+    seen = drawn.select("domain", F.explode("words").alias("word")).where("word != ''").groupBy("word").agg(F.array(*(rate(d) for d in domains)).alias("p"))
     top = seen.orderBy(F.desc(F.array_max("p") - F.array_min("p")), "word").limit(n_words).collect()
-    drawn.unpersist()
+    forget(drawn)
     prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     base = tuple(b + sum(math.log(1 - r["p"][k]) for r in top) for k, b in enumerate(prior))
     return Classifier(domains, base, {r["word"]: tuple(math.log(p / (1 - p)) for p in r["p"]) for r in top})

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -30,8 +31,6 @@ from tidemark.llm.common import materialise
 CAPACITY, END_ID = 1024, 2
 #: How a byte-level tokenizer of this kind splits a text before merging (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Exchanges tried by the local search; each works on all bins of two patterns at once.
-EXCHANGES = 2000
 #: Pieces of one length ranked together.
 BLOCK = 50_000
 
@@ -136,21 +135,29 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Bins:
     return bins
 
 
+def _takes(lengths: tuple[int, ...], most: int) -> list[tuple[int, tuple[int, ...]]]:
+    """What a bin can give: one of its lengths, or (``most`` 2) two of them, by size. Lengths that are alike count once,
+    so there are few, however many pieces a bin has."""
+    kinds = Counter(lengths)
+    out = [(x, (x,)) for x in kinds]
+    if most == 2:
+        out += [(x + y, (x, y)) for x, y in combinations(sorted(kinds), 2)] + [(2 * x, (x, x)) for x, n in kinds.items() if n > 1]
+    return sorted(dict(out).items())
+
+
 def _exchange(a: tuple[int, ...], b: tuple[int, ...], capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange between two bins that raises the sum of their squared fills most, or None."""
-    fill_a, fill_b = sum(a), sum(b)
-    if fill_a < fill_b:
-        a, b, fill_a, fill_b = b, a, fill_b, fill_a
-    ones = [((x,), x) for x in sorted(set(a))]
-    twos = [(p, sum(p)) for p in sorted(set(combinations(sorted(a), 2)))] if len(a) <= 40 else []
-    others = [((y,), y) for y in sorted(set(b))]
-    pairs = [(p, sum(p)) for p in sorted(set(combinations(sorted(b), 2)))] if len(b) <= 40 else []
-    best, chosen = 0, None
-    for give, take in ((((), 0), others), *((x, others + pairs) for x in ones), *((x, others) for x in twos)):
-        for back, size in take:
-            gain = size - give[1]
-            if best < gain <= capacity - fill_a:
-                best, chosen = gain, (give[0], back)
+    """The exchange between two bins that raises the sum of their squared fills most, or None: the fuller bin takes one
+    or two lengths for none or one of its own, or one for two."""
+    if sum(a) < sum(b):
+        a, b = b, a
+    room, best, chosen = capacity - sum(a), 0, None
+    one, two = _takes(b, 1), _takes(b, 2)
+    for gives, takes in (([(0, ())], one), (_takes(a, 1), two), (_takes(a, 2), one)):
+        sizes = [size for size, _ in takes]
+        for give, own in gives:
+            at = bisect_right(sizes, give + room) - 1  # the largest that fits
+            if at >= 0 and sizes[at] - give > best:
+                best, chosen = sizes[at] - give, (own, takes[at][1])
     if chosen is None:
         return None
     left_a, left_b = list(a), list(b)
@@ -161,14 +168,15 @@ def _exchange(a: tuple[int, ...], b: tuple[int, ...], capacity: int) -> tuple[tu
     return tuple(left_a) + chosen[1], tuple(left_b) + chosen[0]
 
 
-def local_search(bins: Bins, exchanges: int = EXCHANGES) -> Bins:
-    """Exchange lengths between underfull bins while that raises the sum of squared fills."""
-    done = 0
+def local_search(bins: Bins) -> Bins:
+    """Exchange lengths between underfull bins while that raises the sum of squared fills, and until there are as few
+    bins as the sum of all lengths needs. Each step works on all bins of two patterns at once."""
+    least = -(-sum(sum(p) * n for p, n in bins.patterns()) // bins.capacity)
     tried: set[tuple] = set()
-    while done < exchanges:
+    while sum(n for _, n in bins.patterns()) > least:
         underfull = [(p, n) for p, n in reversed(bins.patterns()) if bins.room(p)]  # the emptiest first
         step = None
-        for i, (b, n_b) in enumerate(underfull[:50]):
+        for i, (b, n_b) in enumerate(underfull):
             for a, n_a in reversed(underfull[i:]):
                 if (a, b) in tried or (a == b and n_a < 2):
                     continue
@@ -183,7 +191,6 @@ def local_search(bins: Bins, exchanges: int = EXCHANGES) -> Bins:
         a, b, count, (new_a, new_b) = step
         for pattern, change in ((a, -count), (b, -count), (new_a, count), (new_b, count)):
             bins.add(pattern, change)
-        done += 1
     return bins
 
 
