@@ -5,11 +5,11 @@ pair of rows lives on only while the largest overlap it can still reach is at le
 sizes need:
 
 * over blocks of columns, of the rows' rarest ``n - ceil(t n) + 1`` shingles each (any order is exact; rare first makes
-  the columns short, and which shingles are frequent is counted over all documents). Overlap counts are accumulated per
-  pair in a block and summed over blocks. Pairs need sizes that allow the similarity, a shared column early enough in
-  both rows, a count that the rest of the rows can still make up, and parity bitmaps that differ in few enough bits
-  (two sets differ in at least as many shingles; a bitmap has about as many bits as its set has shingles);
-* over blocks of rows: a row with those it is paired with, over all their columns. These counts decide.
+  the columns short, and which shingles are frequent is counted over all documents). A pair needs a shared column at
+  positions i and j that leaves an overlap of ``min(n1 - i, n2 - j)``, and parity bitmaps that differ in few enough bits:
+  two sets differ in at least as many shingles. In a block each row has a sketch, its bitmap folded to a fixed size;
+  pairs of all blocks together are held against whole bitmaps, which have about as many bits as their sets shingles;
+* over blocks of rows: overlap counts of a row with those it is paired with are accumulated over all columns.
 
 Links are found in rounds: first each row of a column with its neighbour by size and with two hubs of the column, then,
 where they are not connected yet, with further hubs, at last every pair whose ends are not connected. So a group of near copies costs links in proportion to its size, yet
@@ -41,6 +41,7 @@ from tidemark.llm.shingles import N_WORDS, all_shingle_sets, mix
 PERCENT = 75
 #: Bits of a parity bitmap, at least.
 LEAST_BITS = 512
+_SKETCH = LEAST_BITS // 64
 #: At most so many of the most frequent shingles go last in the order; 12 bytes each are broadcast.
 FREQUENT = 1 << 17
 #: Shingles that a task counts together; those seen fewer than SEEN times in a full count are dropped from it, so a
@@ -50,15 +51,15 @@ CHUNK, SEEN = 1 << 20, 4
 BLOCK, PART = 60_000, 1_000
 #: Hubs of the first and the second round, as seeds of the order that they come first in.
 HUBS = ((0, 1), (2, 3, 4))
-#: Pairs counted together in a task.
-TOGETHER = 1 << 21
+#: Pairs looked at together in a task.
+TOGETHER = 1 << 18
 #: Bits of the filter that spares the shuffle of texts in no pair; its size is fixed.
 FILTER_BITS = 1 << 23
 #: Shingles in a block of rows (a single row may have more).
 ROWS = 1 << 20
 
 _U = np.uint64
-_ROW = "kind int, doc_id long, t long, n long, k1 long, k2 long, bitmap binary"
+_ROW = "kind int, doc_id long, t long, n long, k1 long, k2 long, bitmap binary, sketch binary"
 
 
 def _need(total, percent: int):
@@ -98,6 +99,13 @@ def _bitmap(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _sketch(bitmap: bytes) -> bytes | None:
+    """A bitmap folded to the least size; None if it has that size."""
+    if len(bitmap) * 8 == LEAST_BITS:
+        return None
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, _U).reshape(-1, _SKETCH), axis=0).tobytes()
+
+
 class _Bitmaps:
     """Parity bitmaps of several sizes, kept in one matrix for each size."""
 
@@ -142,7 +150,8 @@ def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, t, own in zip(batch["doc_id"], batch["t"], all_shingle_sets(batch["text"], n_words), strict=True):
-                out.append((0, doc_id, t, len(own), *(_keys(own) if len(own) else (0, 0)), _bitmap(own) if len(own) else None))
+                bitmap = _bitmap(own) if len(own) else None
+                out.append((0, doc_id, t, len(own), *(_keys(own) if len(own) else (0, 0)), bitmap, _sketch(bitmap) if bitmap else None))
                 held.append(own)
                 size += len(own)
                 if size > CHUNK:
@@ -153,10 +162,10 @@ def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
             frequent()
         if common:
             found = pd.concat(common).groupby("k1", as_index=False)["n"].sum()
-            yield _frame([(1, None, 0, n, h, 0, None) for h, n in zip(found["k1"], found["n"], strict=True)])
+            yield _frame([(1, None, 0, n, h, 0, None, None) for h, n in zip(found["k1"], found["n"], strict=True)])
 
     def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["kind", "doc_id", "t", "n", "k1", "k2", "bitmap"])
+        frame = pd.DataFrame(out, columns=["kind", "doc_id", "t", "n", "k1", "k2", "bitmap", "sketch"])
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInPandas(rows, _ROW)
@@ -250,43 +259,39 @@ def _shared(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(block["block"].iloc[0])], "payload": [_pack(e)]})
 
 
-#: A pair: rows, shared columns counted, whether one of them comes early enough in both rows, and sizes.
-_PAIR = "ka long, kb long, c long, early boolean, na long, nb long"
+_PAIR = "ka long, kb long"
 
 
-class _Counts:
-    """Accumulates the shared columns of pairs in bounded memory."""
+class _Found:
+    """Gathers the pairs of a task, each once as far as bounded memory allows."""
 
     def __init__(self, percent: int):
         self.percent, self.held, self.size = percent, [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Count pairs of entries; now and then yields what has been counted."""
-        n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
-        fits = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (a["k"] != b["k"])
-        a, b, n, m = a[fits], b[fits], n[fits], m[fits]
-        early = np.minimum(n - a["at"], m - b["at"]) >= _need(n + m, self.percent)
-        turned = a["k"] > b["k"]
-        out = [np.where(turned, y, x) for x, y in ((a["k"], b["k"]), (n, m))] + [np.where(turned, x, y) for x, y in ((a["k"], b["k"]), (n, m))]
-        self.held.append((out[0], out[2], np.ones(len(a), np.int64), early, out[1], out[3]))
-        self.size += len(a)
-        if self.size >= TOGETHER:
-            frame = self.frame()
-            if len(frame) > TOGETHER // 2:
-                yield frame
-                self.held, self.size = [], 0
-            else:
-                self.held, self.size = [tuple(frame[c].to_numpy() for c in frame)], len(frame)
+    def add(self, e: np.ndarray, i: np.ndarray, j: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        """Keep the pairs of entries that can be similar enough; now and then yields what there is."""
+        for at in range(0, len(i), TOGETHER):
+            a, b = i[at : at + TOGETHER], j[at : at + TOGETHER]
+            n, m = e["n"][a].astype(np.int64), e["n"][b].astype(np.int64)
+            need = _need(n + m, self.percent)
+            ok = np.flatnonzero((np.minimum(n - e["at"][a], m - e["at"][b]) >= need) & (e["k"][a] != e["k"][b]))
+            a, b, least = a[ok], b[ok], (n + m - 2 * need)[ok]
+            if sketch is not None:
+                near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= least
+                a, b = a[near], b[near]
+            self.held.append((np.minimum(e["k"][a], e["k"][b]), np.maximum(e["k"][a], e["k"][b])))
+            self.size += len(a)
+            if self.size >= TOGETHER:
+                frame = self.frame()
+                if len(frame) > TOGETHER // 2:
+                    yield frame
+                    self.held, self.size = [], 0
+                else:
+                    self.held, self.size = [(frame["ka"].to_numpy(), frame["kb"].to_numpy())], len(frame)
 
     def frame(self) -> pd.DataFrame:
-        columns = [np.concatenate(x) for x in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64)] * 6
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [x[order] for x in columns]
-        if not len(order):
-            return pd.DataFrame(dict(zip(("ka", "kb", "c", "early", "na", "nb"), columns, strict=True))).astype({"early": bool})
-        first = np.flatnonzero(np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]))
-        c, early = np.add.reduceat(columns[2], first), np.logical_or.reduceat(columns[3], first)
-        return pd.DataFrame({"ka": columns[0][first], "kb": columns[1][first], "c": c, "early": early, "na": columns[4][first], "nb": columns[5][first]})
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[side] for x in self.held)]) for side in (0, 1))
+        return pd.DataFrame({"ka": a, "kb": b}).drop_duplicates()
 
 
 def _hubs(e: np.ndarray, cell: np.ndarray, seed: int) -> np.ndarray:
@@ -301,8 +306,8 @@ def _hubs(e: np.ndarray, cell: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def _with_hubs(e: np.ndarray, g: np.ndarray | None, seeds: tuple[int, ...], counts: _Counts) -> Iterator[pd.DataFrame]:
-    """Count each row of a column with its neighbour by size and with the column's hubs, if their groups differ."""
+def _with_hubs(e: np.ndarray, g: np.ndarray | None, seeds: tuple[int, ...], found: _Found) -> Iterator[pd.DataFrame]:
+    """Pair each row of a column with its neighbour by size and with the column's hubs, if their groups differ."""
     if not len(e):
         return
     cell, every = _cell(e["h"], e["k"], e["s"]), np.arange(len(e))
@@ -311,7 +316,7 @@ def _with_hubs(e: np.ndarray, g: np.ndarray | None, seeds: tuple[int, ...], coun
         if g is not None:
             apart = g[i] != g[j]
             i, j = i[apart], j[apart]
-        yield from counts.add(e[i], e[j])
+        yield from found.add(e, i, j)
 
 
 def _first_pairs(columns: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
@@ -320,9 +325,9 @@ def _first_pairs(columns: DataFrame, seeds: tuple[int, ...], percent: int) -> Da
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for payload in batch["payload"]:
-                counts = _Counts(percent)
-                yield from _with_hubs(_unpack(payload), None, seeds, counts)
-                yield counts.frame()
+                found = _Found(percent)
+                yield from _with_hubs(_unpack(payload), None, seeds, found)
+                yield found.frame()
 
     return columns.mapInPandas(rows, _PAIR).union(_hubs_of_parts(columns, seeds, percent))
 
@@ -340,9 +345,9 @@ def _hubs_of_parts(columns: DataFrame, seeds: tuple[int, ...], percent: int) ->
                     yield _flat(e[np.unique(np.concatenate([_hubs(e, cell, seed) for seed in seeds]))])
 
     def join_parts(column: pd.DataFrame) -> pd.DataFrame:
-        e, counts = _entries(column), _Counts(percent)
-        found = [x for seed in seeds for x in counts.add(e, e[_hubs(e, e["h"], seed)])]  # a row for each part and seed
-        return pd.concat([*found, counts.frame()])
+        e, found = _entries(column), _Found(percent)
+        done = [x for seed in seeds for x in found.add(e, np.arange(len(e)), _hubs(e, e["h"], seed))]  # a row for each part and seed
+        return pd.concat([*done, found.frame()])
 
     return columns.mapInPandas(hubs, _FLAT).groupBy("h").applyInPandas(join_parts, _PAIR)
 
@@ -361,38 +366,67 @@ def _entries(flat: pd.DataFrame) -> np.ndarray:
     return e
 
 
-def _between_groups(columns: DataFrame, groups: DataFrame | None, percent: int, seeds: tuple[int, ...] = ()) -> DataFrame:
-    """All pairs of rows of a column that are in different groups (k, g); without groups, all pairs of rows. With seeds,
-    those with their neighbours and hubs alone."""
+def _members(columns: DataFrame, of_all: bool) -> DataFrame:
+    """(block, k): the rows of each block; those of columns with several parts only if ``of_all``."""
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, payload in zip(batch["block"], batch["payload"], strict=True):
                 e = _unpack(payload)
-                yield pd.DataFrame({"block": block, "k": np.unique(e["k"] if seeds else e["k"][e["s"] == 1])})
+                yield pd.DataFrame({"block": block, "k": np.unique(e["k"] if of_all else e["k"][e["s"] == 1])})
 
-    blocks = columns.select("block", "payload", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("g"))
-    if groups is not None:
-        blocks = blocks.union(columns.mapInPandas(members, "block int, k long").join(groups, "k").select("block", F.lit(None).cast("binary"), "k", "g"))
+    return columns.mapInPandas(rows, "block int, k long")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, own = [], []
+
+def _in_blocks(columns: DataFrame, own: DataFrame, rows, schema: str) -> DataFrame:
+    """Apply ``rows`` to the entries of each block with what is known of its rows (k, g, sketch)."""
+    blocks = columns.select("block", "payload", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("binary").alias("sketch"))
+
+    def gathered(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data, known = [], []
         for batch in batches:
             is_data = batch["payload"].notna()
             data += batch["payload"][is_data].tolist()
-            own.append(batch.loc[~is_data, ["k", "g"]])
-        e, known = np.concatenate([_unpack(x) for x in data]), pd.concat(own)
-        g, counts = _group_of(e["k"], known["k"].to_numpy(), known["g"].to_numpy()), _Counts(percent)
-        if seeds:
-            yield from _with_hubs(e, g, seeds, counts)
-        e, g = e[e["s"] == 1], g[e["s"] == 1]
-        if seeds or not len(e):
-            yield counts.frame()
+            known.append(batch.loc[~is_data, ["k", "g", "sketch"]])
+        yield from rows(key[0], np.concatenate([_unpack(x) for x in data]), pd.concat(known))
+
+    return blocks.unionByName(own.withColumn("payload", F.lit(None).cast("binary"))).groupBy("block").applyInPandas(gathered, schema)
+
+
+def _runs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries sorted by column: where columns start, their lengths, and whether their rows are of several groups."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(h)]])), np.minimum.reduceat(g, starts) < np.maximum.reduceat(g, starts)
+
+
+def _further_pairs(columns: DataFrame, groups: DataFrame, percent: int, seeds: tuple[int, ...]) -> DataFrame:
+    """Pairs (ka, kb) of rows with neighbours and hubs in other groups; and, with a payload, what is left of each block
+    when columns whose rows are all in one group are gone."""
+
+    def rows(block: int, e: np.ndarray, known: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g, found = _group_of(e["k"], known["k"].to_numpy(), known["g"].to_numpy()), _Found(percent)
+        for frame in (*_with_hubs(e, g, seeds, found), found.frame()):
+            yield frame.assign(block=block, payload=None)
+        if len(e):
+            _, sizes, mixed = _runs(e["h"], g)
+            yield pd.DataFrame({"ka": [0], "kb": [0], "block": [block], "payload": [_pack(e[np.repeat(mixed, sizes) | (e["s"] > 1)])]})
+
+    own = _members(columns, True).join(groups, "k").withColumn("sketch", F.lit(None).cast("binary"))
+    pairs = _in_blocks(columns, own, rows, f"{_PAIR}, block int, payload binary")
+    return pairs.union(_hubs_of_parts(columns, seeds, percent).selectExpr("ka", "kb", "-1", "CAST(NULL AS binary)"))
+
+
+def _between_groups(columns: DataFrame, groups: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of rows of a column that are in different groups (k, g); without groups, all pairs of rows."""
+
+    def rows(block: int, e: np.ndarray, known: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        e, found = e[e["s"] == 1], _Found(percent)
+        if not len(e):
             return
-        cut = np.flatnonzero(np.diff(e["h"])) + 1
-        starts, ends = np.array([0, *cut]), np.array([*cut, len(e)])
-        low, high = np.minimum.reduceat(g, starts), np.maximum.reduceat(g, starts)
-        sizes, mixed = ends - starts, low < high
+        known = known.sort_values("k")
+        place = np.searchsorted(known["k"].to_numpy(), e["k"])
+        g, sketch = known["g"].to_numpy()[place], _sketches(known["sketch"])[place]
+        starts, sizes, mixed = _runs(e["h"], g)
         for m in np.unique(sizes[mixed]).tolist():  # all columns of one length together
             first = starts[mixed & (sizes == m)]
             for i, j in _pairs_within(m):
@@ -400,11 +434,22 @@ def _between_groups(columns: DataFrame, groups: DataFrame | None, percent: int,
                 for at in range(0, len(first), step):
                     a, b = (np.add.outer(first[at : at + step], x).ravel() for x in (i, j))
                     apart = g[a] != g[b]
-                    yield from counts.add(e[a[apart]], e[b[apart]])
-        yield counts.frame()
+                    yield from found.add(e, a[apart], b[apart], sketch)
+        yield found.frame()
+
+    own = _grouped(_members(columns, False), groups).join(sets.select("k", "sketch"), "k")
+    return _in_blocks(columns, own, rows, _PAIR).union(_tiles(columns, groups, sets, percent))
 
-    pairs = blocks.groupBy("block").applyInPandas(rows, _PAIR)
-    return pairs.union(_hubs_of_parts(columns, seeds, percent) if seeds else _tiles(columns, groups, percent))
+
+def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows (k, ...) with their group g; a row in none is its own."""
+    if groups is None:
+        return rows.withColumn("g", F.col("k"))
+    return rows.join(groups, "k", "left").withColumn("g", F.coalesce("g", "k"))
+
+
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), _U).reshape(-1, _SKETCH)
 
 
 def _group_of(k: np.ndarray, known: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -427,7 +472,7 @@ def _pairs_within(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield i, np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + i + 1
 
 
-def _tiles(columns: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+def _tiles(columns: DataFrame, groups: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs between groups of columns with several parts. The rows of the column's largest group meet the others in
     tiles of bounded size, and so do the others among themselves; a column of one group has no tile."""
 
@@ -437,14 +482,10 @@ def _tiles(columns: DataFrame, groups: DataFrame | None, percent: int) -> DataFr
                 e = _unpack(payload)
                 yield _flat(e[e["s"] > 1])
 
-    flat = columns.mapInPandas(entries, _FLAT)
-    if groups is None:
-        flat = flat.withColumn("g", F.col("k"))
-    else:
-        flat = flat.join(groups, "k", "left").withColumn("g", F.coalesce("g", "k"))
+    flat = _grouped(columns.mapInPandas(entries, _FLAT), groups)
     most = flat.groupBy("h", "g").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("g", F.struct("m", "g")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("total")).where("total > m")
     parts = lambda n: F.expr(f"cast(({n} + {PART - 1}) div {PART} AS int)")
-    dealt = flat.join(most.select("h", "main", parts("m").alias("s_main"), parts("total - m").alias("s_rest")), "h")
+    dealt = flat.join(most.select("h", "main", parts("m").alias("s_main"), parts("total - m").alias("s_rest")), "h").join(sets.select("k", "sketch"), "k")
     of = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     is_main, each = F.col("g") == F.col("main"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -454,39 +495,33 @@ def _tiles(columns: DataFrame, groups: DataFrame | None, percent: int) -> DataFr
     laid = dealt.withColumn("in_main", is_main).withColumn("part", of("s_rest")).withColumn("tile", F.explode(F.when(is_main, with_rest).otherwise(F.concat(with_main, among_rest))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(batches))
-        e, g, part, main = _entries(own), own["g"].to_numpy(), own["part"].to_numpy(), own["in_main"].to_numpy()
-        counts = _Counts(percent)
+        own = pd.concat(list(batches))  # PART rows of either kind, about
+        e, g, part, main, sketch = _entries(own), own["g"].to_numpy(), own["part"].to_numpy(), own["in_main"].to_numpy(), _sketches(own["sketch"])
+        found = _Found(percent)
         if own["kind"].iloc[0] == 0:
-            left, right = np.flatnonzero(main), np.flatnonzero(~main)
-            for a in left:
-                yield from counts.add(e[np.full(len(right), a)], e[right])
+            rest = np.flatnonzero(~main)
+            for a in np.flatnonzero(main):
+                yield from found.add(e, np.full(len(rest), a), rest, sketch)
         else:
             across = own["i"].iloc[0] != own["j"].iloc[0]
             for i, j in _pairs_within(len(e)):
                 apart = (g[i] != g[j]) & ((part[i] != part[j]) if across else True)
-                yield from counts.add(e[i[apart]], e[j[apart]])
-        yield counts.frame()
+                yield from found.add(e, i[apart], j[apart], sketch)
+        yield found.frame()
 
-    return laid.select("h", "k", "n", "at", "s", "g", "in_main", "part", "tile.*").groupBy("h", "kind", "i", "j").applyInPandas(rows, _PAIR)
+    return laid.select("h", "k", "n", "at", "s", "g", "in_main", "part", "sketch", "tile.*").groupBy("h", "kind", "i", "j").applyInPandas(rows, _PAIR)
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int, complete: bool) -> DataFrame:
-    """The pairs, their counts summed over all blocks, that may still reach the overlap they need, with their documents.
-    Unless the counts are complete (a hub is not the hub of all columns that it shares with a row), they say nothing."""
-    summed = pairs.groupBy("ka", "kb", "na", "nb").agg(F.sum("c").alias("c"), F.bool_or("early").alias("early"))
-    total = F.col("na") + F.col("nb")
-    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    rest = F.expr(f"({percent} * greatest(na, nb) + 99) div 100") - 1  # shingles of the larger row beyond the matrix
-    left = summed.where(F.col("early") & ((F.col("c") + rest >= need) if complete else F.lit(True)))
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs, each once, whose whole bitmaps differ in few enough bits, with sizes and documents."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
         each = np.arange(len(a))
         return pd.Series(_near(_Bitmaps(a).apart(each, _Bitmaps(b), each), total.to_numpy(), percent))
 
-    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "bitmap")))
-    return left.join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", total)).select("ka", "kb", "na", "nb", "rep_a", "rep_b")
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "bitmap")))
+    return pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("na") + F.col("nb"))).select("ka", "kb", "na", "nb", "rep_a", "rep_b")
 
 
 def _hub_and_member(pairs: DataFrame) -> DataFrame:
@@ -553,11 +588,11 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS, links: bool = False):
         spark = docs.sparkSession
         described = materialise(describe(docs, n_words), "sets")
-        self.rows = described.where("kind = 0").drop("kind", "bitmap")
-        kinds = described.where("kind = 0 and n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bitmap").alias("bitmap"))
+        self.rows = described.where("kind = 0").drop("kind", "bitmap", "sketch")
+        kinds = described.where("kind = 0 and n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bitmap").alias("bitmap"), F.any_value("sketch").alias("sketch"))
         self.sets = materialise(kinds, "classes")
         turn = next(t for t in range(64) if self.sets.groupBy(_row_key_column(t)).count().where("count > 1").isEmpty())
-        self.sets = self.sets.withColumn("k", _row_key_column(turn))
+        self.sets = self.sets.withColumns({"k": _row_key_column(turn), "sketch": F.coalesce("sketch", "bitmap")})
         top = described.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "k1").limit(FREQUENT).toPandas()  # FREQUENT rows at most
         order = np.argsort(top["k1"].to_numpy().view(_U))
         ranks = spark.sparkContext.broadcast((top["k1"].to_numpy().view(_U)[order], top["n"].to_numpy(np.int64)[order]))
@@ -565,28 +600,37 @@ class Join:
         n_blocks = max(8, -(-entries * (100 - percent) // 100 // BLOCK))
         columns = materialise(_incidence(docs, ranks, n_blocks, percent, n_words, turn).groupBy("block").applyInPandas(_shared, "block int, payload binary"), "columns")
 
-        def verified(pairs: DataFrame, complete: bool = True) -> DataFrame:
-            possible = materialise(_possible(pairs, self.sets, percent, complete), "pairs")
+        def verified(pairs: DataFrame) -> DataFrame:
+            possible = materialise(_possible(pairs, self.sets, percent), "pairs")
             found = materialise(_overlaps(docs, possible, percent, n_words, turn), "links")
             forget(possible)
             return found
 
         if links:
-            self.links = verified(_between_groups(columns, None, percent))
+            self.links = verified(_between_groups(columns, None, self.sets, percent))
         else:
-            self.links = verified(_first_pairs(columns, HUBS[0], percent), complete=False)
-            for seeds in (*HUBS[1:], ()):
-                groups = materialise(connected_components(self.links).select(F.col("node").alias("k"), F.col("component").alias("g")), "groups")
-                self.links = self.links.union(verified(_between_groups(columns, groups, percent, seeds), complete=not seeds))
-                forget(groups)
+            self.links = verified(_first_pairs(columns, HUBS[0], percent))
+            for seeds in HUBS[1:]:
+                groups = self._groups()
+                further, before = materialise(_further_pairs(columns, groups, percent, seeds), "further"), columns
+                self.links = self.links.union(verified(further.where("payload IS NULL").select("ka", "kb")))
+                columns = materialise(further.where("payload IS NOT NULL").select("block", "payload"), "columns")
+                for table in (groups, further, before):
+                    forget(table)
+            groups = self._groups()
+            self.links = self.links.union(verified(_between_groups(columns, groups, self.sets, percent)))
+            forget(groups)
         forget(columns)
 
+    def _groups(self) -> DataFrame:
+        return materialise(connected_components(self.links).select(F.col("node").alias("k"), F.col("component").alias("g")), "groups")
+
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, t, stays) for every row: t is the hash of its text; stays, whether this is
         the document with the component's smallest id (of rows that repeat one, each has stays; of different texts with
         that id in one component, one has)."""
         found = connected_components(self.links).withColumnRenamed("node", "k")
-        linked = self.sets.drop("bitmap").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        linked = self.sets.drop("bitmap", "sketch").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
         least = linked.groupBy("component").agg(F.min(F.struct("rep", "k")).alias("least"))
         sets = linked.join(least, "component").select("n", "k1", "k2", F.col("least.rep").alias("component_id"), (F.col("least.k") == F.col("k")).alias("chosen"))
         own = self.rows.where("n > 0 and doc_id is not null").join(sets, ["n", "k1", "k2"])
@@ -597,7 +641,7 @@ class Join:
 
     def documents(self) -> DataFrame:
         """(doc_id, n_shingles, rep) for every row; rep, the smallest doc_id with an equal set, is null for an empty set."""
-        return self.rows.join(self.sets.drop("bitmap"), ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
+        return self.rows.join(self.sets.drop("bitmap", "sketch"), ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
 
     def forget(self) -> None:
         """Delete the join's tables, once its results have been written elsewhere."""
