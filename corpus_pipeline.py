@@ -34,8 +34,8 @@ def _begin(docs: DataFrame) -> None:
         _held[:] = [table for table in _held if folders(table) & needed]
 
 
-def _hold(df: DataFrame, name: str) -> DataFrame:
-    _held.append(df := materialise(df, name))
+def _hold(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    _held.append(df := materialise(df, name, small))
     return df
 
 
@@ -59,7 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id stays."""
     _begin(docs)
     joined = ngram_join.Join(docs)
-    stay = _hold(joined.components().where("stays AND doc_id IS NOT NULL").groupBy("doc_id", "t").count(), "classes")
+    stay = _hold(joined.components().where("stays AND doc_id IS NOT NULL").groupBy("doc_id", "t").count(), "classes", small=True)
     joined.forget()
     doc, text, rank = fresh(docs, "__doc", "__text", "__rank")
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), text: F.xxhash64("text")})

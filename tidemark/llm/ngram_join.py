@@ -524,15 +524,6 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("na") + F.col("nb"))).select("ka", "kb", "na", "nb", "rep_a", "rep_b")
 
 
-def _hub_and_member(pairs: DataFrame) -> DataFrame:
-    """(hub, hub_doc, k, doc, n): each pair from the end that is in more pairs."""
-    ends = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).groupBy("k").agg(F.count("*").alias("of"))
-    both = pairs.join(ends.select(F.col("k").alias("ka"), F.col("of").alias("of_a")), "ka").join(ends.select(F.col("k").alias("kb"), F.col("of").alias("of_b")), "kb")
-    first = F.struct("of_a", "ka") >= F.struct("of_b", "kb")
-    pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
-    return both.select(pick("ka", "kb", "hub"), pick("rep_a", "rep_b", "hub_doc"), pick("kb", "ka", "k"), pick("rep_b", "rep_a", "doc"), pick("nb", "na", "n"))
-
-
 def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int, turn: int) -> DataFrame:
     """Links (src, dst, overlap, n_src, n_dst, src_doc, dst_doc): a block has a row and rows it is paired with, whose
     overlaps with it are accumulated over all columns."""
@@ -551,10 +542,10 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int, tur
         return pd.Series((wanted.value[i >> 6] >> (i & 63)) & 1 == 1)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").withColumn("at", slot).where(may_be_wanted("at")).drop("at")
-    linked = _hub_and_member(pairs)
-    size = linked.groupBy("hub").agg(F.ceil(F.sum("n") / ROWS).cast("int").alias("parts"))
-    split = linked.join(size, "hub").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
-    members = split.select("hub", "part", "k", "doc").union(split.select("hub", "part", "hub", "hub_doc").distinct())
+    hubs = pairs.groupBy(F.col("ka").alias("hub")).agg(F.any_value("rep_a").alias("doc"), F.expr(f"cast(1 + sum(nb) div {ROWS} AS int)").alias("parts"))
+    members = pairs.select(F.col("ka").alias("hub"), F.col("kb").alias("k"), F.col("rep_b").alias("doc")).join(hubs.drop("doc"), "hub")
+    members = members.select("hub", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), "k", "doc")
+    members = members.union(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "hub", "doc"))
 
     def accumulate(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         hub, found, done = None, [], set()
@@ -583,14 +574,15 @@ _LINK_COLUMNS = ("src", "dst", "overlap", "n_src", "n_dst", "src_doc", "dst_doc"
 
 
 class Join:
-    """The join of a table with itself: ``documents``, ``links`` between different sets, and ``components``."""
+    """The join of a table with itself: ``documents``, and either all ``links`` between different sets or ``components``."""
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS, links: bool = False):
         spark = docs.sparkSession
+        self.links = self.groups = None
         described = materialise(describe(docs, n_words), "sets")
         self.rows = described.where("kind = 0").drop("kind", "bitmap", "sketch")
         kinds = described.where("kind = 0 and n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.any_value("bitmap").alias("bitmap"), F.any_value("sketch").alias("sketch"))
-        self.sets = materialise(kinds, "classes")
+        self.sets = materialise(kinds, "classes", small=True)
         turn = next(t for t in range(64) if self.sets.groupBy(_row_key_column(t)).count().where("count > 1").isEmpty())
         self.sets = self.sets.withColumns({"k": _row_key_column(turn), "sketch": F.coalesce("sketch", "bitmap")})
         top = described.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "k1").limit(FREQUENT).toPandas()  # FREQUENT rows at most
@@ -601,36 +593,38 @@ class Join:
         columns = materialise(_incidence(docs, ranks, n_blocks, percent, n_words, turn).groupBy("block").applyInPandas(_shared, "block int, payload binary"), "columns")
 
         def verified(pairs: DataFrame) -> DataFrame:
-            possible = materialise(_possible(pairs, self.sets, percent), "pairs")
-            found = materialise(_overlaps(docs, possible, percent, n_words, turn), "links")
+            possible = materialise(_possible(pairs, self.sets, percent), "pairs", small=True)
+            found = materialise(_overlaps(docs, possible, percent, n_words, turn), "links", small=True)
             forget(possible)
             return found
 
         if links:
             self.links = verified(_between_groups(columns, None, self.sets, percent))
         else:
-            self.links = verified(_first_pairs(columns, HUBS[0], percent))
+            self._join_groups(verified(_first_pairs(columns, HUBS[0], percent)))
             for seeds in HUBS[1:]:
-                groups = self._groups()
-                further, before = materialise(_further_pairs(columns, groups, percent, seeds), "further"), columns
-                self.links = self.links.union(verified(further.where("payload IS NULL").select("ka", "kb")))
-                columns = materialise(further.where("payload IS NOT NULL").select("block", "payload"), "columns")
-                for table in (groups, further, before):
-                    forget(table)
-            groups = self._groups()
-            self.links = self.links.union(verified(_between_groups(columns, groups, self.sets, percent)))
-            forget(groups)
+                further, before = materialise(_further_pairs(columns, self.groups, percent, seeds), "columns"), columns
+                self._join_groups(verified(further.where("payload IS NULL").select("ka", "kb")))
+                columns = further.where("payload IS NOT NULL").select("block", "payload")
+                forget(before)
+            self._join_groups(verified(_between_groups(columns, self.groups, self.sets, percent)))
         forget(columns)
 
-    def _groups(self) -> DataFrame:
-        return materialise(connected_components(self.links).select(F.col("node").alias("k"), F.col("component").alias("g")), "groups")
+    def _join_groups(self, found: DataFrame) -> None:
+        """Join the groups (k, g: the smallest row of the group) that links were found between."""
+        links, before = found.select("src", "dst"), self.groups
+        if before is not None:
+            links = links.union(before.where("k != g").select("k", "g"))
+        self.groups = connected_components(links).select(F.col("node").alias("k"), F.col("component").alias("g"))
+        forget(found)
+        if before is not None:
+            forget(before)
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, t, stays) for every row: t is the hash of its text; stays, whether this is
         the document with the component's smallest id (of rows that repeat one, each has stays; of different texts with
         that id in one component, one has)."""
-        found = connected_components(self.links).withColumnRenamed("node", "k")
-        linked = self.sets.drop("bitmap", "sketch").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        linked = self.sets.drop("bitmap", "sketch").join(self.groups, "k", "left").withColumn("component", F.coalesce("g", "k"))
         least = linked.groupBy("component").agg(F.min(F.struct("rep", "k")).alias("least"))
         sets = linked.join(least, "component").select("n", "k1", "k2", F.col("least.rep").alias("component_id"), (F.col("least.k") == F.col("k")).alias("chosen"))
         own = self.rows.where("n > 0 and doc_id is not null").join(sets, ["n", "k1", "k2"])
@@ -645,8 +639,9 @@ class Join:
 
     def forget(self) -> None:
         """Delete the join's tables, once its results have been written elsewhere."""
-        for table in (self.rows, self.sets, self.links):
-            forget(table)
+        for table in (self.rows, self.sets, self.links, self.groups):
+            if table is not None:
+                forget(table)
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, n_words: int = N_WORDS) -> DataFrame:
