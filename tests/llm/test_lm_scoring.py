@@ -43,7 +43,6 @@ def test_windows_stay_within_texts():
 
 
 def test_learns_from_both_sides(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TRAIN_EACH", 1)
     monkeypatch.setattr(lm, "BATCH", 256)
     docs = spark.createDataFrame(sentences(), SCHEMA).coalesce(1)
     ids, network = lm.train(docs)
@@ -103,3 +102,36 @@ def test_production_parameters_train_on_every_position(spark):
     n = np.array([r["n"] for r in vocab.words.collect()])
     got = lm.score(docs, vocab, network).selectExpr("sum(log_likelihood) / sum(n_words) AS mean").collect()[0]["mean"]
     assert got > float((n / n.sum() * np.log(n / n.sum())).sum()) + 2
+
+
+def test_scores_match_a_plain_loop(spark):
+    """Every probability by the definition: the hidden layer, two softmaxes, and the share of a word among its id's."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice((1, 7, 60)))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    vocab, net = lm.train(docs)
+    counts = {r["word"]: r["n"] for r in vocab.words.collect()}
+    side, edge = net.classes.shape[1], len(vocab.own)
+
+    def softmax(z):
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def id_of(h):
+        own = int(vocab.ids[(h >> 20) % len(vocab.ids)])
+        return (own, False) if int(vocab.own[own]) == h else (int(vocab.tail[(h - (h >> 63 << 64)) % lm.TAIL]), True)
+
+    for asked in (docs, spark.createDataFrame([(0, "w1 never-seen w2")], SCHEMA)):
+        for row in asked.join(lm.score(asked, vocab, net), "doc_id").collect():
+            hashes = [int(lm.word_hashes([w.encode()])[0][0]) for w in row["text"].split()]
+            ids, total = [id_of(h) for h in hashes], 0.0
+            for i, h in enumerate(hashes):
+                around = [ids[i + d][0] if 0 <= i + d < len(ids) else edge for d in lm.WINDOW]
+                hidden = np.append(np.tanh(sum(net.embeddings[k][c] for k, c in enumerate(around))), 1)
+                own, is_tail = ids[i]
+                p = softmax(hidden @ net.classes)[own // side] * softmax(hidden @ net.words[own // side])[own % side]
+                if is_tail:
+                    signed = h - (h >> 63 << 64)
+                    n, kinds, once = (int(v) for v in vocab.sums[signed % lm.TAIL])
+                    p *= counts[signed] / (n + once + 1) if signed in counts else (once + 1) / (kinds + 1) / (n + once + 1)
+                total += np.log(p)
+            assert row["log_likelihood"] == pytest.approx(total, abs=1e-2 + 1e-4 * abs(total))

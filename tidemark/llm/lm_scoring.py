@@ -7,11 +7,13 @@ it), so a prediction costs twice the square root of the vocabulary.
 
 Words are counted over all documents. The network's vocabulary grows with the number of words counted: the most
 frequent words have an id each, the others share tail ids by their hash. A word that shares an id is scored as
-P(id | both sides) * P(word | id), the second factor from the corpus counts, which are joined and never gathered.
+P(id | both sides) * P(word | id), the second factor from the corpus counts: those of the most frequent words, as many
+as the vocabulary bounds, are broadcast, the others are joined and never gathered.
 Of a tail id with N words of T kinds, S of them seen once, a word seen n times has n / (N + S + 1), and the rest of the
 mass goes to T + 1 words never seen. Every task trains a copy of the network on every
-position of all its documents; the copies are averaged by the number of positions they saw, so training grows
-with the corpus while the driver receives a fixed number of networks.
+position of all its documents, and the copies are averaged by the number of positions they saw: piece by piece of the
+network, so that no task holds more than one piece of one copy, and the driver receives one network. Which documents
+train a copy together depends on how the table is split, and so do the last digits of the scores.
 
 Results for unusual input: null and empty texts have no words and a score of 0 (mean null); texts are scored whole;
 repeated rows are scored alike; an empty table gives an empty table; a null doc_id is kept; other columns are not
@@ -39,10 +41,10 @@ SIDE_WORDS = 1 << 20
 #: Words a task holds before it counts them.
 HELD = 1 << 22
 WIDTH, WINDOW = 24, (-2, -1, 1, 2)
-#: One position in TRAIN_EACH is trained on, in steps of BATCH positions.
-TRAIN_EACH, BATCH, RATE = 1, 2048, 0.3
-#: Averages of networks that reach the driver.
-GROUPS = 8
+#: Positions of a step of training.
+BATCH, RATE = 8192, 0.6
+#: Words with a broadcast count, for each id; parameters of a network averaged together.
+KNOWN, PIECE = 64, 1024
 
 
 class Network:
@@ -141,12 +143,14 @@ def _bucket(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The id of each bucket, the hash of each id's word (0 for tail ids), each tail id's frequency, kinds and words seen once; and all words (word, n)."""
+    """The id of each bucket, the hash of each id's word (0 for tail ids), each tail id's frequency, kinds and words seen
+    once; tail words with broadcast counts, by hash; and all words (word, n)."""
 
     ids: np.ndarray
     own: np.ndarray
     tail: np.ndarray
     sums: np.ndarray
+    known: tuple[np.ndarray, np.ndarray]
     words: DataFrame
 
 
@@ -178,7 +182,10 @@ def vocabulary(words: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         sums[t] = values
     side = max(SIDE, int(np.ceil(SIDE * (sums[:, 0].sum() / SIDE_WORDS) ** (1 / 6))))
     size = side * side
-    top = words.orderBy(F.desc("n"), "word").limit(size - TAIL).toPandas()  # one row an id
+    top = words.orderBy(F.desc("n"), "word").limit(KNOWN * size).toPandas()  # KNOWN rows an id
+    by_hash = np.argsort(top["word"].to_numpy(np.int64))
+    known = top["word"].to_numpy(np.int64)[by_hash], top["n"].to_numpy(np.int64)[by_hash]
+    top = top.head(size - TAIL)
     hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     buckets = max(BUCKETS, 1 << (64 * size - 1).bit_length())
     _, first = np.unique(_bucket(hashes, buckets), return_index=True)
@@ -191,7 +198,7 @@ def vocabulary(words: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     ids, own, counts = np.full(buckets, spread[-1], np.int32), np.zeros(size, np.uint64), np.zeros(size, np.int64)
     at, tail = spread[: len(hashes)], spread[size - TAIL :]
     ids[_bucket(hashes, buckets)], own[at], counts[at], counts[tail] = at, hashes, n, sums[:, 0]
-    return Vocabulary(ids, own, tail, sums, words), counts
+    return Vocabulary(ids, own, tail, sums, known, words), counts
 
 
 def windows(chunk: list[bytes], ids: np.ndarray, own: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -227,34 +234,33 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
         for batch in batches:
             for chunk in chunks(batch["text"]):
                 target, context, *_ = windows(chunk, *lookup)
-                at = np.flatnonzero((np.arange(len(target)) * 2654435761 + len(target)) % (1 << 32) < (1 << 32) // TRAIN_EACH)
-                for k in range(0, len(at), BATCH):
-                    own = at[k : k + BATCH]
-                    network.step(context[own], target[own], RATE)
-                    seen += len(own)
+                for k in range(0, len(target), BATCH):
+                    network.step(context[k : k + BATCH], target[k : k + BATCH], RATE)
+                seen += len(target)
         if seen:
-            yield pd.DataFrame([(seen % GROUPS, seen, network.pack())], columns=["part", "seen", "network"])
+            data, width = network.pack(), 4 * PIECE
+            yield pd.DataFrame([(k // width, seen, data[k : k + width]) for k in range(0, len(data), width)], columns=["piece", "seen", "network"])
 
-    def average(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(group["network"].iloc[0]) // 4)
-        for seen, data in zip(group["seen"], group["network"], strict=True):
-            total += seen * np.frombuffer(data, np.float32)
-        seen = int(group["seen"].sum())
-        return pd.DataFrame([(int(group["part"].iloc[0]), seen, (total / seen).astype(np.float32).tobytes())], columns=["part", "seen", "network"])
+    def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, all_seen, piece = 0.0, 0, None
+        for batch in batches:
+            for piece, seen, data in batch.itertuples(index=False):
+                total, all_seen = total + seen * np.frombuffer(data, np.float32).astype(float), all_seen + seen
+        yield pd.DataFrame([(piece, all_seen, (total / all_seen).astype(np.float32).tobytes())], columns=["piece", "seen", "network"])
 
-    schema = "part long, seen long, network binary"
-    averages = docs.select("text").mapInPandas(rows, schema).groupBy("part").applyInPandas(average, schema).toPandas()  # GROUPS rows at most
-    return (vocab, Network.unpack(average(averages)["network"].iloc[0])) if len(averages) else (vocab, first)
+    schema = "piece long, seen long, network binary"
+    averages = docs.select("text").mapInPandas(rows, schema).groupBy("piece").applyInPandas(average, schema).toPandas()  # one network
+    return (vocab, Network.unpack(b"".join(averages.sort_values("piece")["network"]))) if len(averages) else (vocab, first)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum over all words) and mean_log_likelihood of each document."""
     sums = vocab.sums + (0, 1, 1)
     of_tail = -np.log(sums[:, 0] + sums[:, 2])
-    shared = docs.sparkSession.sparkContext.broadcast((vocab.ids, vocab.own, vocab.tail, network.pack()))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.ids, vocab.own, vocab.tail, *vocab.known, network.pack()))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        *lookup, data = shared.value
+        *lookup, known, known_n, data = shared.value
         model = Network.unpack(data)
         for batch in batches:
             n, total, tails = [], [], []
@@ -265,6 +271,11 @@ def score(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
                 at = np.flatnonzero(word)
                 p = p.astype(float)
                 p[at] += of_tail[word[at] % TAIL]
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, word[at]), len(known) - 1)
+                    found = known[place] == word[at]
+                    p[at[found]] += np.log(known_n[place[found]])
+                    at = at[~found]
                 total.append(np.bincount(owner, p, len(chunk)))
                 tails += np.split(word[at], np.searchsorted(owner[at], np.arange(1, len(chunk))))
             n, total = np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros(0), *total])
