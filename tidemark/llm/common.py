@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space; the same pattern reads alike in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
-#: Files of a small table, for each core.
-FILES = 4
+#: Files of a table and of a small one, for each core.
+FILES = 8, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-    A ``small`` table, far smaller than what it is made from, goes to a few files a core and not to one a partition; a
-    task then makes its partitions one after the other, with the memory of one."""
+    The table goes to a few files a core and not to one a partition, a ``small`` one (far smaller than what it is made
+    from) to still fewer; a task then makes its partitions one after the other, with the memory of one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(max(16, FILES * spark.sparkContext.defaultParallelism)) if small else df).write.parquet(path)
+    df.coalesce(max(16, FILES[small] * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,11 +40,11 @@ VOCABULARY = SIDE * SIDE
 SIDE_WORDS = 1 << 20
 #: Words a task holds before it counts them.
 HELD = 1 << 22
-WIDTH, WINDOW = 24, (-2, -1, 1, 2)
+WIDTH, WINDOW = 16, (-2, -1, 1, 2)
 #: Positions of a step of training.
 BATCH, RATE = 8192, 0.6
 #: Words with a broadcast count, for each id; parameters of a network averaged together.
-KNOWN, PIECE = 64, 1024
+KNOWN, PIECE = 16, 1024
 
 
 class Network:
