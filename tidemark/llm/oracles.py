@@ -21,4 +21,22 @@ SELECT s.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow')
 FROM split s LEFT JOIN fits f ON s.page_id = f.page_id
 """
 
-ORACLES = {"op7_url_filter": _OP7}
+_OP10 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), links AS (
+  SELECT x AS u, y AS v FROM pairs UNION ALL SELECT y, x FROM pairs
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(v) FROM reach r WHERE r.u = doc_id), doc_id)) AS component_id FROM sets
+"""
+
+ORACLES = {"op7_url_filter": _OP7, "op10_ngram_join": _OP10}
