@@ -65,3 +65,23 @@ def test_without_labels_and_without_rows(spark):
     field = t.train(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), none)
     assert t.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), field).first()["score"] == pytest.approx(0)
     assert t.score(empty, field).collect() == []
+
+
+@pytest.mark.parametrize("gap", [0, 1, 64, 100, 1000])
+def test_gaps_are_exact_in_a_sticky_field(gap):
+    """A tag that hardly ever changes carries over gaps of any length; each word is visited one by one to compare."""
+    field = t.Field({"bad": 2.0}, 0.001, np.log(np.array([[0.999, 0.001], [0.001, 0.999]])))
+    emissions = [0.0] * (2 * gap + 2)
+    at = [0, gap + 1]
+    words = [field.emission("bad") if i in at else None for i in range(len(emissions))]
+    emit = np.array([[1.0, np.exp(field.bias if e is None else e)] for e in words])
+    change = np.exp(field.transitions)
+    forward, back = [emit[0] / emit[0].sum()], [np.ones(2)]
+    for e in emit[1:]:
+        forward.append(forward[-1] @ change * e / (forward[-1] @ change * e).sum())
+    for e in emit[:0:-1]:
+        back.append(change @ (e * back[-1]) / (change @ (e * back[-1])).sum())
+    back = back[::-1]
+    want = [(forward[i] * back[i])[1] / (forward[i] * back[i]).sum() for i in at]
+    got = t.Chain(field).marginals(len(emissions), at, [field.emission("bad")] * 2)
+    assert np.allclose(got, want, atol=1e-9)

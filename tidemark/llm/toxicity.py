@@ -67,13 +67,24 @@ class Chain:
     def __init__(self, field: Field):
         step = np.exp(field.transitions) * np.exp([0.0, field.bias])
         self.step, self.transition, self.start = step, np.exp(field.transitions), np.array([1.0, np.exp(field.bias)])
-        powers = [np.eye(2)]
-        while len(powers) < 64:  # scaled powers of the matrix of a word outside the lexicon; they converge fast
-            powers.append(powers[-1] @ step / (powers[-1] @ step).sum())
-        self.powers = np.array(powers)
+        self.squares = [step / step.sum()]  # the matrix of a word outside the lexicon, scaled, to the powers of two
+        self.gaps: dict[int, np.ndarray] = {0: np.eye(2)}
 
     def gap(self, n: int) -> np.ndarray:
-        return self.powers[min(n, len(self.powers) - 1)]
+        """The scaled power of the matrix for n words outside the lexicon, exact for any n."""
+        if n not in self.gaps:
+            while len(self.squares) < n.bit_length():
+                square = self.squares[-1] @ self.squares[-1]
+                self.squares.append(square / square.sum())
+            out = np.eye(2)
+            for k in range(n.bit_length()):
+                if n >> k & 1:
+                    out = out @ self.squares[k]
+                    out = out / out.sum()
+            if len(self.gaps) > 100_000:
+                self.gaps = {0: np.eye(2)}
+            self.gaps[n] = out
+        return self.gaps[n]
 
     def marginals(self, length: int, at: list[int], emissions: list[float]) -> np.ndarray:
         """P(toxic) of each lexicon word of the text."""
@@ -131,7 +142,6 @@ def _candidates(sample: DataFrame) -> list[str]:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 counts[int(toxic > 0)].update({u for w in set(_WORD.findall((text or "").lower())) for u in units(w)})
             table = pd.DataFrame({"toxic": pd.Series(counts[1]), "clean": pd.Series(counts[0])}).fillna(0).astype("int64")
-            table = table[table["toxic"] > 0] if not len(table) else table
             yield table.rename_axis("unit").reset_index().astype({"unit": str})
 
     counted = sample.mapInPandas(rows, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
