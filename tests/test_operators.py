@@ -64,7 +64,7 @@ def test_memtable_size(spark):
     stats = state.memtable_stats(log, 0, 500).first()
     assert (stats["entries"], stats["bytes"], stats["is_empty"], stats["is_full"]) == (5, 870, False, True)
     assert state.memtable_stats(log, 99, 500).first()["is_empty"]
-    assert segments.flush_bounds(log, 500) == [(0, 2)]
+    assert [tuple(r) for r in segments.flush_bounds(log, 500).collect()] == [(0, 0, 2)]
 
 
 def test_replaced_entries_count_once(spark):
@@ -82,8 +82,8 @@ def test_flush_bounds_on_the_events_table(spark, data_dir):
     from tidemark.plans.log import mutation_log
 
     wide = data_dir.replace("sf0.001", "sf0.01")
-    assert [last + 1 for _, last in segments.flush_bounds(mutation_log(spark, wide), 64 << 10)] == [1225, 2584, 3891, 5175, 6441, 7790, 9078]
-    assert segments.flush_bounds(mutation_log(spark, data_dir), 16 << 10) == []
+    assert [r["last"] + 1 for r in segments.flush_bounds(mutation_log(spark, wide), 64 << 10).collect()] == [1225, 2584, 3891, 5175, 6441, 7790, 9078]
+    assert segments.flush_bounds(mutation_log(spark, data_dir), 16 << 10).collect() == []
 
 
 def test_compaction(spark):
@@ -172,5 +172,5 @@ def test_script(spark):
 
 def test_empty_log(spark):
     empty = spark.createDataFrame([], LOG_SCHEMA)
-    assert rows_of(state.snapshot(empty)) == [] and segments.flush_bounds(empty, 10) == []
+    assert rows_of(state.snapshot(empty)) == [] and segments.flush_bounds(empty, 10).collect() == []
     assert segments.segment_contents(segments.assign_fixed(empty)).count() == 0

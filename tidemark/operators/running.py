@@ -14,7 +14,7 @@ BLOCK = 1 << 16
 def running_total(df: DataFrame, value: Column, order: str = "seq", name: str = "total", block: int = BLOCK, by: tuple[str, ...] = ()) -> DataFrame:
     """Add the sum of ``value`` over the rows up to and including each, by ``order``, in two phases: the totals of
     blocks, then within each block. ``order`` is a whole number; ``by`` restarts the sum."""
-    df = df.withColumns({"__value": value, "__block": F.floor(F.col(order) / block)})
+    df = df.withColumns({"__value": value, "__block": F.expr(f"`{order}` div {block}")})
     totals = df.groupBy(*by, "__block").agg(F.sum("__value").alias("__sum"))
     before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))

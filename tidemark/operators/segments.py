@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import op_name
+from tidemark.functions.columns import entry_size, op_name
 from tidemark.model import PUT, TOMBSTONE
-from tidemark.operators.running import size_changes
+from tidemark.operators.running import running_total
 from tidemark.operators.state import latest
 
 
@@ -19,7 +21,7 @@ def assign_fixed(log: DataFrame, n_segments: int = 4) -> DataFrame:
     if bounds["low"] is None:
         return log.withColumn("seg_id", F.lit(0))
     each = max(1, -(-(bounds["high"] - bounds["low"] + 1) // n_segments))
-    return log.withColumn("seg_id", F.floor((F.col("seq") - bounds["low"]) / each).cast("int"))
+    return log.withColumn("seg_id", F.expr(f"(seq - {bounds['low']}) div {each}").cast("int"))
 
 
 def segment_contents(segmented: DataFrame) -> DataFrame:
@@ -54,33 +56,40 @@ def read_trace(segments: DataFrame, probes: DataFrame) -> DataFrame:
     return found.select("k", F.col("seg_id").alias("found_in"), op_name(F.col("op")).alias("status"), F.coalesce(F.col("n") - F.col("seg_id"), F.col("n")).cast("int").alias("segments_probed"))
 
 
-def flush_bounds(log: DataFrame, threshold: int, look: int = 4096) -> list[tuple[int, int]]:
-    """(first, last) seq of every segment that size-triggered flushes cut, in order; the tail stays in memory.
+def flush_bounds(log: DataFrame, threshold: int) -> DataFrame:
+    """(seg_id, first, last): the seqs of every segment that size-triggered flushes cut; the tail stays in memory.
 
-    A flush happens before the mutation that finds the table full, so the one that filled it is in. Each flush is
-    found from the mutations since the last one, within a stretch of the log that is widened as needed; the sizes
-    count a replaced key once, so the boundaries depend on one another and are found in turn.
+    A flush happens before the mutation that finds the table full, so the one that filled it is in. Sizes count a
+    replaced key once, so the boundaries depend on one another: what each mutation replaces is found for all of the log
+    at once, and one task folds the sorted numbers, with the state of one flush.
     """
-    ends = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    start, high, out = ends["low"], ends["high"], []
-    while start is not None and start <= high:
-        until = start + look
-        stretch = log.where((F.col("seq") >= start) & (F.col("seq") < until))
-        changes = size_changes(stretch).select("seq", "change").orderBy("seq").toPandas()  # look rows at most
-        full = changes["change"].cumsum() >= threshold
-        if full.any():
-            last = int(changes["seq"][full.idxmax()])
-            out.append((start, last))
-            look, start = max(4096, 2 * (last - start)), last + 1
-        elif until > high:
-            break
-        else:
-            look *= 2
-    return out
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, total, seg_id = None, 0, 0
+        for batch in batches:
+            out = []
+            for seq, size, before, replaced in zip(*(batch[c].tolist() for c in ("seq", "bytes", "before", "replaced")), strict=True):
+                start = seq if start is None else start
+                total += size - (replaced if before >= start else 0)
+                if total >= threshold:
+                    out.append((seg_id, start, seq))
+                    start, total, seg_id = None, 0, seg_id + 1
+            yield pd.DataFrame(out, columns=["seg_id", "first", "last"])
+
+    same = Window.partitionBy("k").orderBy("seq")
+    sized = log.select("seq", "k", entry_size(F.col("k"), F.col("op"), F.col("v")).alias("bytes"))
+    lowest = F.lit(-(1 << 63)).cast("long")
+    sized = sized.select("seq", "bytes", F.coalesce(F.lag("seq").over(same), lowest).alias("before"), F.coalesce(F.lag("bytes").over(same), F.lit(0).cast("long")).alias("replaced"))
+    return sized.repartition(1).sortWithinPartitions("seq").mapInPandas(fold, "seg_id int, first long, last long")
 
 
 def assign_by_size(log: DataFrame, threshold: int) -> DataFrame:
-    """Add ``seg_id`` by size-triggered flushes; null for the tail that is still in memory."""
+    """Add ``seg_id`` by size-triggered flushes; null for the tail that is still in memory. The flush of a mutation is
+    the number of flushes that ended before it, a running total."""
     bounds = flush_bounds(log, threshold)
-    table = log.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(bounds)], "seg_id int, first long, last long")
-    return log.join(F.broadcast(table), F.col("seq").between(F.col("first"), F.col("last")), "left").drop("first", "last")
+    ended = log.join(bounds.select(F.col("last").alias("seq"), F.lit(1).alias("__ends")), "seq", "left")
+    numbered = running_total(ended, F.coalesce("__ends", F.lit(0)), name="__done")
+    flushes = bounds.agg(F.count("*").alias("__flushes"))
+    seg_id = (F.col("__done") - F.coalesce("__ends", F.lit(0))).cast("int")
+    placed = numbered.crossJoin(F.broadcast(flushes)).withColumn("seg_id", F.when(seg_id < F.col("__flushes"), seg_id))  # one row
+    return placed.select(*(F.col(f"`{c}`") for c in log.columns), "seg_id")

@@ -78,7 +78,18 @@ _LINE = """line AS (
   SELECT line_no, command, regexp_extract(rest, '^([^ \\t\\r\\n]*)', 1) AS k, trim(regexp_extract(rest, '^[^ \\t\\r\\n]*((?s:.*))$', 1), ' ' || chr(9) || chr(13) || chr(10)) AS v FROM split
 )"""
 
+_CRC = f"""WITH RECURSIVE step AS (
+  SELECT n, n AS c, 0 AS i FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM step WHERE i < 8
+), tab AS (SELECT list(c ORDER BY n) AS tab FROM step WHERE i = 8), {_LOG}, record AS (
+  SELECT seq, hex(encode(k)) AS k, CASE WHEN op = 2 THEN '' ELSE hex(encode(v)) END AS v, op FROM log
+), bytes AS (
+  SELECT seq, [op::BIGINT] || list_transform(range(4), lambda i: (len(k) // 2 >> (8 * i)) & 255) || list_transform(range(4), lambda i: (len(v) // 2 >> (8 * i)) & 255)
+    || list_transform(range(1, len(k || v), 2), lambda i: ('0x' || substr(k || v, i, 2))::BIGINT) AS b FROM record
+)
+SELECT seq, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) AS crc FROM bytes, tab"""
+
 ORACLES = {
+    "wal_crc": _CRC,
     "snapshot": f"WITH {_STATE} SELECT k, v FROM state WHERE op = 1",
     "snapshot_window": f"WITH {_LOG} SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM log) WHERE r = 1 AND op = 1",
     "snapshot_as_of": f"""WITH {_LOG}, cut AS (SELECT * FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log)),

@@ -2,7 +2,9 @@
 
 A manifest names the log batches and segments that make up the store; whoever renames the next version into place
 has committed. Data is written before the manifest that names it and deleted after one that doesn't, so a crash at
-any point leaves the last committed state. Reads are one scan of all segments and the log, aggregated by key;
+any point leaves the last committed state. Every record keeps its sequence number, and of a key's records the one with
+the greatest wins, wherever it lies: a mutation that arrives late under an older number doesn't hide a newer one (but a
+tombstone that a compaction has dropped is no longer there to be newer). Reads are one scan of all segments and the log, aggregated by key;
 segments are range-partitioned, sorted and carry Parquet Bloom filters, so a point read skips row groups.
 """
 
@@ -21,6 +23,9 @@ from tidemark.operators import state
 from tidemark.sources.files import Files
 
 
+SEGMENT_SCHEMA = "seg_id int, seq long, k string, op byte, v string"
+
+
 @dataclass(frozen=True)
 class Segment:
     seg_id: int
@@ -35,6 +40,9 @@ class Manifest:
     log: tuple[str, ...] = ()
     next_seq: int = 0
     next_seg: int = 1
+    #: Bytes of the log's entries at most (each mutation counted), and the last batch of each stream that was applied.
+    log_bytes: int = 0
+    streams: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -43,7 +51,7 @@ class Manifest:
     def from_json(cls, text: str) -> Manifest:
         try:
             raw = json.loads(text)
-            return cls(raw["version"], tuple(Segment(**s) for s in raw["segments"]), tuple(raw["log"]), raw["next_seq"], raw["next_seg"])
+            return cls(raw["version"], tuple(Segment(**s) for s in raw["segments"]), tuple(raw["log"]), raw["next_seq"], raw["next_seg"], raw["log_bytes"], raw["streams"])
         except (ValueError, KeyError, TypeError) as error:
             raise Corruption(f"manifest can't be read: {error}") from error
 
@@ -91,16 +99,14 @@ class Store:
         return self.spark.read.schema(LOG_SCHEMA).parquet(*(f"{self.path}/{p}" for p in self.manifest.log))
 
     def segments(self) -> DataFrame:
-        """The records of all segments (seg_id, k, op, v), tombstones included."""
+        """The records of all segments (seg_id, seq, k, op, v), tombstones included."""
         self._opened()
-        empty = self.spark.createDataFrame([], "seg_id int, k string, op byte, v string")
         parts = [f"{self.path}/{s.path}" for s in self.manifest.segments]
-        return self.spark.read.schema(empty.schema).parquet(*parts) if parts else empty
+        return self.spark.read.schema(SEGMENT_SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SEGMENT_SCHEMA)
 
     def mutations(self) -> DataFrame:
-        """Segments and log as one log: a segment's records come before any later segment's and the log's."""
-        older = self.segments().select((F.col("seg_id").cast("long") - F.lit(1 << 40)).alias("seq"), "k", "op", "v")
-        return older.unionByName(self.log())
+        """Segments and log as one log."""
+        return self.segments().drop("seg_id").unionByName(self.log())
 
     def snapshot(self) -> DataFrame:
         return state.snapshot(self.mutations()).select("k", "v")
@@ -148,26 +154,34 @@ class Store:
     def remove_many(self, keys: DataFrame) -> None:
         self.apply(keys.select("k", F.lit(TOMBSTONE).alias("op"), F.lit("").alias("v")))
 
-    def apply(self, mutations: DataFrame, order: str | None = None) -> None:
+    def apply(self, mutations: DataFrame, order: str | None = None, numbered: bool = False, batch: tuple[str, int] | None = None) -> None:
         """Append mutations (k, op, v) to the log as one batch. A full table is flushed first, as for any write; if
-        that fails, or a mutation is invalid, nothing is applied."""
+        that fails, or a mutation is invalid, nothing is applied.
+
+        Mutations are newer than all before them, in the order of ``order``; if that is ``numbered``, its whole numbers
+        are their sequence numbers. A ``batch`` of a stream (name and number) is applied once."""
         self._opened()
-        if self.memtable_size() >= self.options.memtable_size_threshold:
+        if batch and batch[1] <= self.manifest.streams.get(batch[0], -1):
+            return
+        # the bound of the log's size spares reading the log for each write
+        if self.manifest.log_bytes >= self.options.memtable_size_threshold and self.memtable_size() >= self.options.memtable_size_threshold:
             self.flush()
-        ordered = mutations.orderBy(order) if order else mutations
-        seq = F.lit(self.manifest.next_seq).cast("long") + F.monotonically_increasing_id()
+        ordered = mutations.orderBy(order) if order and not numbered else mutations
+        seq = F.col(order).cast("long") if numbered else F.lit(self.manifest.next_seq).cast("long") + F.monotonically_increasing_id()
         rows = ordered.select(seq.alias("seq"), "k", F.col("op").cast("byte").alias("op"), F.when(F.col("op") == TOMBSTONE, "").otherwise(F.col("v")).alias("v"))
         target = f"wal/batch-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{target}")
         written = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/{target}")
-        valid = F.col("k").isNotNull() & (F.octet_length("k") > 0) & (F.octet_length("k") <= MAX_KEY) & F.col("v").isNotNull() & (F.octet_length("v") <= MAX_VALUE) & F.col("op").isin(PUT, TOMBSTONE)
-        facts = written.agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("bad")).first()
+        valid = F.col("seq").isNotNull() & F.col("k").isNotNull() & (F.octet_length("k") > 0) & (F.octet_length("k") <= MAX_KEY) & F.col("v").isNotNull() & (F.octet_length("v") <= MAX_VALUE) & F.col("op").isin(PUT, TOMBSTONE)
+        facts = written.agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("bad"), F.sum(entry_size(F.col("k"), F.col("op"), F.col("v"))).alias("bytes")).first()
         if facts["bad"] or not facts["n"]:
             self._files.delete(f"{self.path}/{target}")
             if facts["bad"]:
-                raise InvalidArgument(f"{facts['bad']} mutations have an empty key, no value, or one that is too long")
+                raise InvalidArgument(f"{facts['bad']} mutations have no number, an empty key, no value, or one that is too long")
             return
-        self._commit(replace(self.manifest, log=(*self.manifest.log, target), next_seq=facts["last"] + 1))
+        now = self.manifest
+        streams = now.streams | dict([batch] if batch else [])
+        self._commit(replace(now, log=(*now.log, target), next_seq=max(now.next_seq, facts["last"] + 1), log_bytes=now.log_bytes + facts["bytes"], streams=streams))
 
     def flush(self) -> bool:
         """Turn the log into a segment, tombstones included; False if there is nothing to flush."""
@@ -175,8 +189,8 @@ class Store:
         if not self.manifest.log:
             return False
         old = self.manifest.log
-        segment = self._write_segment(state.latest(self.log()).select("k", "op", "v"))
-        self._commit(replace(self.manifest, segments=(*self.manifest.segments, segment), log=(), next_seg=segment.seg_id + 1))
+        segment = self._write_segment(state.latest(self.log()).select("seq", "k", "op", "v"))
+        self._commit(replace(self.manifest, segments=(*self.manifest.segments, segment), log=(), next_seg=segment.seg_id + 1, log_bytes=0))
         self._collect(old)
         if self.segment_count() >= self.options.compaction_threshold:
             self.compact()
@@ -188,7 +202,7 @@ class Store:
         if self.segment_count() < 2:
             return False
         old = [s.path for s in self.manifest.segments]
-        newest = state.latest(self.segments(), order="seg_id").where(F.col("op") == PUT).select("k", "op", "v")
+        newest = state.latest(self.segments().drop("seg_id")).where(F.col("op") == PUT).select("seq", "k", "op", "v")
         segment = self._write_segment(newest)
         self._commit(replace(self.manifest, segments=(segment,), next_seg=segment.seg_id + 1))
         self._collect(old)
@@ -197,13 +211,13 @@ class Store:
     def _write_segment(self, rows: DataFrame) -> Segment:
         seg_id = self.manifest.next_seg
         target = f"segments/sst_{seg_id:06d}-{uuid.uuid4().hex}"
-        out = rows.select(F.lit(seg_id).alias("seg_id"), "k", F.col("op").cast("byte").alias("op"), "v").repartitionByRange("k").sortWithinPartitions("k")
+        out = rows.select(F.lit(seg_id).alias("seg_id"), "seq", "k", F.col("op").cast("byte").alias("op"), "v").repartitionByRange("k").sortWithinPartitions("k")
         writer = out.write
         if self.options.enable_bloom_filter:
             share = min(0.5, max(1e-4, 0.6185**self.options.bloom_bits_per_key))
             writer = writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.fpp#k", str(share)).option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{target}")
-        written = self.spark.read.schema("seg_id int, k string, op byte, v string").parquet(f"{self.path}/{target}")
+        written = self.spark.read.schema(SEGMENT_SCHEMA).parquet(f"{self.path}/{target}")
         facts = written.agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"), F.count_if(~F.col("op").isin(PUT, TOMBSTONE)).alias("bad")).first()
         if facts["n"] != facts["keys"] or facts["bad"]:
             raise Corruption(f"{target} does not hold one valid record for each key")

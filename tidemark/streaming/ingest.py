@@ -10,13 +10,14 @@ from tidemark.store import Store
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, order: str = "seq") -> StreamingQuery:
-    """Append a stream of mutations (k, op, v and an order) to an open store until its source is drained.
+    """Append a stream of mutations (k, op, v and their sequence numbers) to an open store until its source is drained.
 
-    Applying a batch twice after a failure puts the same newest values again, so the state is the same.
+    The numbers decide which mutation of a key is the newest, whichever batch it comes in. The store's manifest names
+    the last batch applied from this checkpoint, so one that is repeated after a failure is applied once.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.apply(batch, order)
+    def write(batch: DataFrame, number: int) -> None:
+        store.apply(batch, order, numbered=True, batch=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
