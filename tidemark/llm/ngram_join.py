@@ -52,7 +52,7 @@ BLOCK, PART = 60_000, 1_000
 #: Hubs of the first and the second round, as seeds of the order that they come first in.
 HUBS = ((0, 1), (2, 3, 4))
 #: Pairs looked at together in a task.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 16
 #: Bits of the filter that spares the shuffle of texts in no pair; its size is fixed.
 FILTER_BITS = 1 << 23
 #: Shingles in a block of rows (a single row may have more).

@@ -11,8 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 N_WORDS = 5
-#: Bytes of text hashed at once (longer texts go alone); a worker needs about 40 times this.
-CHUNK = 1 << 20
+#: Bytes of text hashed at once for words, and for shingles (longer texts go alone); a worker needs about 40 times this.
+CHUNK, SHINGLE_CHUNK = 1 << 20, 1 << 18
 
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1342543DE82EF95)
@@ -83,12 +83,12 @@ def shingle_sets(texts: list[bytes], n: int = N_WORDS) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
-    """The texts as UTF-8 in lists of about ``CHUNK`` bytes; null counts as empty."""
+def chunks(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[list[bytes]]:
+    """The texts as UTF-8 in lists of about ``most`` bytes; null counts as empty."""
     held, size = [], 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
-        if held and size + len(data) > CHUNK:
+        if held and size + len(data) > most:
             yield held
             held, size = [], 0
         held.append(data)
@@ -98,5 +98,5 @@ def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
 
 
 def all_shingle_sets(texts: Iterable[str | None], n: int = N_WORDS) -> Iterator[np.ndarray]:
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, SHINGLE_CHUNK):
         yield from shingle_sets(chunk, n)
