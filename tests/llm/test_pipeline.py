@@ -57,3 +57,26 @@ def test_rows_that_repeat_an_id(spark, data_dir):
 def test_run(spark, data_dir):
     got = p.run(spark, data_dir).collect()
     assert got and {"doc_id", "sequence_id", "offset", "length"} <= set(got[0].asDict())
+
+
+CLASHING = "doc_id long, text string, n long, k long, t long, stays string, secrets string, posterior string, kept string, __row string"
+
+
+def test_one_id_with_different_texts_nulls_and_clashing_names(spark, data_dir):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, other), (1, one), (2, one + " end"), (3, None), (3, None), (4, ""), (None, one), (None, one), (5, other)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "s", "x", "p", "k", "r") for i, t in rows], CLASHING)
+    out = p.near_duplicates(spark, docs, data_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, one), (1, other), (3, None), (4, ""), (None, one), (None, one)], key=repr)
+    clean = p.without_secrets(spark, docs, data_dir)
+    assert clean.columns == docs.columns and sorted(((r["doc_id"], r["text"], r["secrets"]) for r in clean.collect()), key=repr) == sorted(((i, t, "x") for i, t in rows), key=repr)
+    good = p.quality(spark, docs, data_dir)
+    assert good.columns == docs.columns and not good.where("text IS NULL OR text = ''").count()
+
+
+def test_empty_tables(spark, data_dir):
+    empty = documents(spark, data_dir).limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, data_dir).collect() == []
