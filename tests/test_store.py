@@ -213,3 +213,30 @@ def test_late_batches_do_not_hide_newer_mutations(spark, tmp_path):
         assert store.get("a") == "last"
     with Store(spark).open(str(tmp_path / "late")) as store:
         assert store.get("a") == "last" and store.manifest.streams == {"s": 2} and store.manifest.log_bytes > 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 105, 999])
+def test_stored_filter_has_no_false_negative(n):
+    records = [(PUT, b"key%05d" % i, b"v%d" % i) for i in range(n)]
+    file = binary.SegmentFile.open(binary.encode_segment(records))
+    assert [file.get(k) for _, k, _ in records] == [("VALUE", v) for _, _, v in records]
+
+
+def test_logs_are_read_with_their_endings(spark, tmp_path):
+    """An empty file has no row in either table."""
+    whole = [(PUT, b"a", b"1"), (TOMBSTONE, b"b\xff", b""), (PUT, b"c", b"3")]
+    data = b"".join(binary.encode_record(*r) for r in whole)
+    broken = bytearray(data)
+    broken[12] ^= 1
+    for name, content in (("whole", data), ("torn", data[:-1]), ("corrupt", bytes(broken)), ("empty", b"")):
+        (tmp_path / name).write_bytes(content)
+    rows = {(r["path"].rpartition("/")[2], r["seq"], bytes(r["k"]), r["op"], bytes(r["v"])) for r in binary.read_logs(spark, str(tmp_path)).collect()}
+    records = [(i, k, op, v) for i, (op, k, v) in enumerate(whole)]
+    assert rows == {("whole", *r) for r in records} | {("torn", *r) for r in records[:2]}
+    endings = {r["path"].rpartition("/")[2]: tuple(r)[1:] for r in binary.log_endings(spark, str(tmp_path)).collect()}
+    last = len(binary.encode_record(*whole[2]))
+    assert endings == {
+        "whole": (3, len(data), 0, False, False),
+        "torn": (2, len(data) - last, last - 1, True, False),
+        "corrupt": (0, 0, len(data), False, True),
+    }

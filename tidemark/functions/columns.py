@@ -69,8 +69,9 @@ def one_at_a_time(k: Column) -> Column:
 
 
 def bloom_size(n: Column, bits_per_key: int) -> Column:
-    """Bits of a filter for n keys; an empty one is sized for 64 keys, and none has fewer than 64 bits."""
-    return F.greatest(F.when(n == 0, 64).otherwise(n) * bits_per_key, F.lit(64)).cast("long")
+    """Bits of a filter for n keys, in whole bytes; an empty one is sized for 64 keys, and none has fewer than 64 bits."""
+    bits = F.greatest(F.when(n == 0, 64).otherwise(n) * bits_per_key, F.lit(64)).cast("long")
+    return F.shiftleft(F.shiftright(bits + 7, 3), 3)
 
 
 def bloom_positions(h1: Column, h2: Column, n_bits: Column, n_hashes: int) -> Column:

@@ -19,6 +19,11 @@ def bits(keys: DataFrame, n_bits: int, n_hashes: int = 7) -> DataFrame:
     return hashes(keys.select("k").distinct()).select(F.explode(positions).alias("bit")).distinct()
 
 
+def size(n: int, bits_per_key: int = 10) -> int:
+    """Bits of a filter for n keys, in whole bytes."""
+    return (max(64, (n or 64) * bits_per_key) + 7) // 8 * 8
+
+
 def segment_bits(segments: DataFrame, bits_per_key: int = 10, n_hashes: int = 7) -> DataFrame:
     """The distinct bits of each segment's filter, with its size."""
     sizes = segments.groupBy("seg_id").agg(bloom_size(F.count("*"), bits_per_key).alias("n_bits"))

@@ -134,13 +134,13 @@ ORACLES = {
     "storage_overhead": f"""WITH {_LAYOUT}, l AS (SELECT CAST(sum(strlen(k) + strlen(v)) AS BIGINT) AS logical_bytes FROM seg), p AS (SELECT CAST(sum(file_size) AS BIGINT) AS physical_bytes FROM layout)
         SELECT logical_bytes, physical_bytes, round(physical_bytes / logical_bytes, 6) AS overhead FROM l, p""",
     "bloom_hashes": f"WITH {_DOC}, {_hashed('doc', 'hashed')} SELECT doc.k, h1, h2 FROM doc JOIN hashed ON doc.k = hashed.k",
-    "bloom_bits": f"""WITH {_DOC}, {_hashed('doc', 'hashed')}, size AS (SELECT greatest(64, count(*) * 10) AS m FROM doc)
+    "bloom_bits": f"""WITH {_DOC}, {_hashed('doc', 'hashed')}, size AS (SELECT (greatest(64, count(*) * 10) + 7) // 8 * 8 AS m FROM doc)
         SELECT DISTINCT (h1 + i * h2) % m AS bit FROM hashed, size, range(7) r(i)""",
-    "bloom_probe": f"""WITH {_DOC}, even AS (SELECT k FROM doc WHERE doc_id % 2 = 0), {_hashed('doc', 'hashed')}, size AS (SELECT greatest(64, count(*) * 10) AS m FROM even),
+    "bloom_probe": f"""WITH {_DOC}, even AS (SELECT k FROM doc WHERE doc_id % 2 = 0), {_hashed('doc', 'hashed')}, size AS (SELECT (greatest(64, count(*) * 10) + 7) // 8 * 8 AS m FROM even),
         bits AS (SELECT DISTINCT (h1 + i * h2) % m AS bit FROM hashed SEMI JOIN even USING (k), size, range(7) r(i)),
         ask AS (SELECT DISTINCT k, (h1 + i * h2) % m AS bit FROM hashed, size, range(7) r(i))
         SELECT ask.k, count(*) = count(bits.bit) AS maybe FROM ask LEFT JOIN bits ON ask.bit = bits.bit GROUP BY ask.k""",
-    "bloom_segment_fill": f"""WITH {_SEG}, {_hashed('seg', 'hashed')}, size AS (SELECT seg_id, CAST(greatest(count(*) * 10, 64) AS BIGINT) AS n_bits FROM seg GROUP BY seg_id)
+    "bloom_segment_fill": f"""WITH {_SEG}, {_hashed('seg', 'hashed')}, size AS (SELECT seg_id, CAST((greatest(count(*) * 10, 64) + 7) // 8 * 8 AS BIGINT) AS n_bits FROM seg GROUP BY seg_id)
         SELECT seg_id, n_bits, count(DISTINCT (h1 + i * h2) % n_bits) AS n_set FROM seg JOIN hashed USING (k) JOIN size USING (seg_id), range(7) r(i) GROUP BY seg_id, n_bits""",
     "latency_percentiles": """WITH ranked AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
         SELECT event_type, n, round(avg(value), 6) AS mean, min(value) FILTER (r = least(floor(n * 0.5::DOUBLE), n - 1)) AS p50,

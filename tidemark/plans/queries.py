@@ -195,7 +195,7 @@ def bloom_hashes(spark, sf_dir):
 @query
 def bloom_bits(spark, sf_dir):
     keys = document_keys(spark, sf_dir).select("k")
-    return bloom.bits(keys, max(64, keys.count() * 10))
+    return bloom.bits(keys, bloom.size(keys.count()))
 
 
 @query
@@ -203,7 +203,7 @@ def bloom_probe(spark, sf_dir):
     """A filter over the even documents, probed with all of them: absent keys lie between present ones."""
     keys = document_keys(spark, sf_dir)
     present = keys.where("doc_id % 2 = 0").select("k")
-    n_bits = max(64, present.count() * 10)
+    n_bits = bloom.size(present.count())
     found = bloom.probe(keys, bloom.bits(present, n_bits), n_bits)
     return found.select("k", "maybe")
 

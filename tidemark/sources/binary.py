@@ -13,7 +13,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.model import MAX_KEY, MAX_VALUE, PUT, TOMBSTONE, Corruption
@@ -78,8 +79,8 @@ def hash_pair(key: bytes) -> tuple[int, int]:
 
 class Bloom:
     def __init__(self, n_keys: int, bits_per_key: int = 10, n_hashes: int = 7):
-        self.n_hashes, self.n_bits = n_hashes, max(64, (n_keys or 64) * bits_per_key)
-        self.bits = bytearray((self.n_bits + 7) // 8)
+        self.n_hashes, self.bits = n_hashes, bytearray((max(64, (n_keys or 64) * bits_per_key) + 7) // 8)
+        self.n_bits = len(self.bits) * 8  # whole bytes, so that a stored filter has the positions it was built with
 
     def positions(self, key: bytes) -> list[int]:
         a, b = hash_pair(key)
@@ -238,6 +239,36 @@ class SegmentSource(LogSource):
         return _Reader(self.options, "segment")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, k, op, v): the valid prefixes of the log files of a folder or pattern, on any file system; see :func:`log_endings` for what follows them. A file is held by one task."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                found = replay(bytes(data)).records
+                for at in range(0, len(found), 10_000):
+                    yield pd.DataFrame([(name, at + i, k, op, v) for i, (op, k, v) in enumerate(found[at : at + 10_000])], columns=["path", "seq", "k", "op", "v"])
+
+    return _files(spark, path).mapInPandas(rows, "path string, seq long, k binary, op int, v binary")
+
+
+def log_endings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, records, valid_bytes, dropped_bytes, truncated, corrupt): how far each log file can be replayed, and why no further.
+    An empty file has nothing to replay and no row."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(name, len(data), replay(bytes(data))) for name, data in zip(batch["path"], batch["content"], strict=True)]
+            out = [(name, len(r.records), r.valid_bytes, size - r.valid_bytes, r.truncated, r.corrupt) for name, size, r in found]
+            yield pd.DataFrame(out, columns=["path", "records", "valid_bytes", "dropped_bytes", "truncated", "corrupt"])
+
+    return _files(spark, path).mapInPandas(rows, "path string, records long, valid_bytes long, dropped_bytes long, truncated boolean, corrupt boolean")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogSource)
     spark.dataSource.register(SegmentSource)
