@@ -174,3 +174,35 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], LOG_SCHEMA)
     assert rows_of(state.snapshot(empty)) == [] and segments.flush_bounds(empty, 10).collect() == []
     assert segments.segment_contents(segments.assign_fixed(empty)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 50])
+def test_offsets_and_seeks_do_not_depend_on_blocks(spark, blocks):
+    keys = [(seg, f"k{(i * 37) % 101:03d}{'é' * (i % 3)}") for seg, n in ((0, 70), (1, 5), (2, 100)) for i in range(n)]
+    segs = spark.createDataFrame([(s, k, PUT, "v" * len(k)) for s, k in keys], "seg_id int, k string, op int, v string")
+    size = {(s, k): 13 + len(k.encode()) + len(k) for s, k in keys}
+    want, entries_of, ends = {}, {}, {}
+    for s in (0, 1, 2):
+        at = 16
+        for pos, k in enumerate(sorted((k for t, k in keys if t == s), key=str.encode)):
+            want[s, k] = (pos, at)
+            if pos % 4 == 0:
+                entries_of.setdefault(s, []).append((k.encode(), at))
+            at += size[s, k]
+        ends[s] = at
+    got = {(r["seg_id"], r["k"]): (r["pos"], r["off"]) for r in index.offsets(segs, blocks).collect()}
+    assert got == want
+    probes = ["", "a", "k", "k000", "k050", "k050é", "k0505", "k100éé", "z", *{k for _, k in keys[:20]}]
+    found = {}
+    for k in probes:
+        for s, entries in entries_of.items():
+            below = [i for i, (e, _) in enumerate(entries) if e <= k.encode()]
+            offs = [off for _, off in entries] + [ends[s]]
+            found[k, s] = (offs[below[-1]], offs[below[-1] + 1]) if below else (16, 16)
+    rows = index.seek(spark.createDataFrame([(k,) for k in probes], "k string"), segs, 4, blocks).collect()
+    assert {(r["k"], r["seg_id"]): (r["start_off"], r["end_off"]) for r in rows} == found and len(rows) == len(found)
+
+
+def test_offsets_of_no_segment(spark):
+    segs = spark.createDataFrame([], "seg_id int, k string, op int, v string")
+    assert index.offsets(segs).count() == 0 and index.seek(spark.createDataFrame([("a",)], "k string"), segs).count() == 0
