@@ -105,6 +105,18 @@ def test_any_segmentation_gives_the_same_state(spark, mutations, n):
     assert live(merged) == live(state.snapshot(log)) == want
 
 
+@pytest.mark.parametrize("newest_op", [PUT, TOMBSTONE])
+def test_compaction_stats_orders_records_of_one_segment(spark, newest_op):
+    """Whatever the order in which a segment's records are read, the greatest sequence number wins."""
+    old = TOMBSTONE if newest_op == PUT else PUT
+    rows = [(8 * i + j, f"k{i}", newest_op if j == 7 else old, "", 0) for i in range(40) for j in range(8)]
+    for read in (rows, rows[::-1], [r for r in rows if r[0] % 8 == 7] + [r for r in rows if r[0] % 8 != 7]):
+        for parts in (1, 7):
+            log = spark.createDataFrame(spark.sparkContext.parallelize(read, parts), "seq long, k string, op int, v string, seg_id int")
+            want = (320, 280, 40, 0) if newest_op == TOMBSTONE else (320, 280, 0, 40)
+            assert tuple(segments.compaction_stats(log).first()) == want
+
+
 def test_sparse_index_and_seek(spark):
     rows = [(1, f"key_{i:05d}", PUT, f"val_{i}") for i in range(200)]
     seg = spark.createDataFrame(rows, "seg_id int, k string, op int, v string")

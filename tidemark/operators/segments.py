@@ -41,11 +41,12 @@ def merge_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def compaction_stats(segments: DataFrame) -> DataFrame:
-    """One row: records in, superseded, tombstones purged, and out."""
-    newest = latest(segments.select("seg_id", "k", "op", "v"), order="seg_id")
-    totals = newest.agg(F.count("*").alias("kept"), F.count_if(F.col("op") == TOMBSTONE).alias("tombstones_purged"))
-    records = segments.agg(F.count("*").alias("records_in"))
-    return records.crossJoin(totals).select("records_in", (F.col("records_in") - F.col("kept")).alias("superseded"), "tombstones_purged", (F.col("kept") - F.col("tombstones_purged")).alias("records_out"))
+    """One row: records in, superseded, tombstones purged, and out. The newest record of a key is the one with the
+    greatest sequence number: a segment that is not deduplicated yet has many records of a key, which seg_id can't order."""
+    newest = segments.groupBy("k").agg(F.count("*").alias("records"), F.max_by("op", "seq").alias("op"))
+    count = lambda op: F.count_if(F.col("op") == op)
+    records = F.coalesce(F.sum("records"), F.lit(0))
+    return newest.agg(records.alias("records_in"), (records - F.count("*")).alias("superseded"), count(TOMBSTONE).alias("tombstones_purged"), count(PUT).alias("records_out"))
 
 
 def read_trace(segments: DataFrame, probes: DataFrame) -> DataFrame:
