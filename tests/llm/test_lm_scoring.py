@@ -135,3 +135,43 @@ def test_scores_match_a_plain_loop(spark):
                     p *= counts[signed] / (n + once + 1) if signed in counts else (once + 1) / (kinds + 1) / (n + once + 1)
                 total += np.log(p)
             assert row["log_likelihood"] == pytest.approx(total, abs=1e-2 + 1e-4 * abs(total))
+
+
+def test_step_and_scores_in_place_and_as_by_plain_formulas():
+    import tracemalloc
+
+    side, n = 64, 8192
+    rng = np.random.default_rng(1)
+    network = lm.Network.start(rng.integers(1, 1000, side * side))
+    context, target = rng.integers(0, side * side + 1, (n, len(lm.WINDOW))), rng.integers(0, side * side, n)
+    tracemalloc.start()
+    scores = network.log_probabilities(context, target)
+    after_scores = tracemalloc.get_traced_memory()[1]
+    before = lm.Network(*(x.astype(float) for x in (network.embeddings, network.classes, network.words)))
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    network.step(context, target, 0.6)
+    after_step = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    matrix = 4 * n * side  # of the logits of a batch; with copies of it, caches and time go
+    assert after_scores < 2.5 * matrix and after_step < 3 * matrix
+
+    h = np.concatenate([np.tanh(sum(before.embeddings[k][context[:, k]] for k in range(len(lm.WINDOW)))), np.ones((n, 1))], 1)
+    group, inner, at = target // side, target % side, np.arange(n)
+    p = np.exp(h @ before.classes)
+    p /= p.sum(1, keepdims=True)
+    q = np.exp(np.einsum("nw,nwc->nc", h, before.words[group]))
+    q /= q.sum(1, keepdims=True)
+    assert np.allclose(scores, np.log(p[at, group] * q[at, inner]), atol=1e-4)
+    p, q = -p, -q
+    p[at, group] += 1
+    q[at, inner] += 1
+    words = before.words.copy()
+    for g in range(side):
+        words[g] += 0.6 / n * side * h[group == g].T @ q[group == g]
+    slope = (p @ before.classes.T + np.einsum("nc,nwc->nw", q, before.words[group]))[:, : lm.WIDTH] * (1 - h[:, : lm.WIDTH] ** 2)
+    embeddings = before.embeddings.copy()
+    for k in range(len(lm.WINDOW)):
+        np.add.at(embeddings[k], context[:, k], 0.6 / n * side * slope)
+    assert np.allclose(network.classes, before.classes + 0.6 / n * h.T @ p, atol=1e-5)
+    assert np.allclose(network.words, words, atol=1e-5) and np.allclose(network.embeddings, embeddings, atol=1e-5)

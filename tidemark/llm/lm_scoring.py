@@ -43,6 +43,8 @@ HELD = 1 << 22
 WIDTH, WINDOW = 24, (-2, -1, 1, 2)
 #: Positions of a step of training.
 BATCH, RATE = 8192, 0.6
+#: Positions scored at once; arrays of so many stay in a core's cache.
+SCORED = 8192
 #: Words with a broadcast count, for each id; parameters of a network averaged together.
 KNOWN, PIECE = 16, 1024
 
@@ -81,48 +83,46 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """The layer that sees the words around each position, with a column of ones for the biases."""
-        total = self.embeddings[0][context[:, 0]]
+        out = np.ones((len(context), WIDTH + 1), np.float32)
+        total = self.embeddings[0].take(context[:, 0], 0)
         for k in range(1, len(WINDOW)):
-            total = total + self.embeddings[k][context[:, k]]
-        return np.concatenate([np.tanh(total), np.ones((len(total), 1), np.float32)], 1)
+            total += self.embeddings[k].take(context[:, k], 0)
+        np.tanh(total, out=out[:, :WIDTH])
+        return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(word | both sides) of each position."""
-        h, side = self.hidden(context), self.classes.shape[1]
-        group, inner = target // side, target % side
-        at = np.arange(len(target))
-        z = h @ self.classes
-        out = z[at, group] - _log_sum(z)
-        order, cuts = _by_value(group, side)
-        for g in range(side):
-            own = order[cuts[g] : cuts[g + 1]]
-            if len(own):
-                z = h[own] @ self.words[g]
-                out[own] += z[np.arange(len(own)), inner[own]] - _log_sum(z)
+        side = self.classes.shape[1]
+        order, cuts = _by_value(target // side, side)
+        h, group, inner = self.hidden(context[order]), target[order] // side, target[order] % side
+        sorted_out = _log_softmax_at(self.classes.T @ h.T, group)
+        for g in np.flatnonzero(np.diff(cuts)).tolist():  # the positions of a class lie together
+            own = slice(cuts[g], cuts[g + 1])
+            sorted_out[own] += _log_softmax_at(self.words[g].T @ h[own].T, inner[own])
+        out = np.empty_like(sorted_out)
+        out[order] = sorted_out
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient ascent on the mean log-probability of a batch."""
-        h, side = self.hidden(context), self.classes.shape[1]
-        group, inner = target // side, target % side
+        """One step of gradient ascent on the mean log-probability of a batch, in the order of classes."""
+        side = self.classes.shape[1]
         rate /= len(target)
-        miss = -_softmax(h @ self.classes)
-        miss[np.arange(len(target)), group] += 1
-        back = miss @ self.classes.T
-        self.classes += rate * (h.T @ miss)
-        order, cuts = _by_value(group, side)
-        for g in range(side):
-            own = order[cuts[g] : cuts[g + 1]]
-            if len(own):
-                miss = -_softmax(h[own] @ self.words[g])
-                miss[np.arange(len(own)), inner[own]] += 1
-                back[own] += miss @ self.words[g].T
-                self.words[g] += rate * side * (h[own].T @ miss)
+        order, cuts = _by_value(target // side, side)
+        context, target = context[order], target[order]
+        h, group, inner = self.hidden(context), target // side, target % side
+        miss = _miss(self.classes.T @ h.T, group)
+        back = miss.T @ self.classes.T
+        self.classes += rate * (h.T @ miss.T)
+        for g in np.flatnonzero(np.diff(cuts)).tolist():  # the positions of a class lie together
+            own = slice(cuts[g], cuts[g + 1])
+            miss = _miss(self.words[g].T @ h[own].T, inner[own])
+            back[own] += miss.T @ self.words[g].T
+            self.words[g] += rate * side * (h[own].T @ miss.T)
         slope = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
         for k in range(len(WINDOW)):
             order, cuts = _by_value(context[:, k], self.embeddings.shape[1])
             ids = np.flatnonzero(cuts[1:] > cuts[:-1])
-            self.embeddings[k][ids] += rate * side * np.add.reduceat(slope[order], cuts[ids], axis=0)
+            self.embeddings[k][ids] += rate * side * np.add.reduceat(slope.take(order, 0), cuts[ids], axis=0)
 
 
 def _by_value(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +131,20 @@ def _by_value(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n))])
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-probability of one choice in each column; ``z`` is used up. Choices are rows, so that sums run over whole rows."""
+    z -= z.max(0)
+    own = z[at, np.arange(len(at))]
+    return own - np.log(np.exp(z, out=z).sum(0))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _miss(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """In each column, 1 at the choice that was made less each choice's probability; ``z`` is used up."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z *= -1 / z.sum(0)
+    z[at, np.arange(len(at))] += 1
+    return z
 
 
 def _bucket(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -270,7 +276,7 @@ def score(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
             n, total, tails = [], [], []
             for chunk in chunks(batch["text"]):
                 target, context, owner, word = windows(chunk, *lookup)
-                p = np.concatenate([np.zeros(0, np.float32), *(model.log_probabilities(context[k : k + 65536], target[k : k + 65536]) for k in range(0, len(target), 65536))])
+                p = np.concatenate([np.zeros(0, np.float32), *(model.log_probabilities(context[k : k + SCORED], target[k : k + SCORED]) for k in range(0, len(target), SCORED))])
                 n.append(np.bincount(owner, minlength=len(chunk)))
                 at = np.flatnonzero(word)
                 p = p.astype(float)
