@@ -78,3 +78,12 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_pairs_are_not_kept_until_their_task_ends(spark):
+    sets = spark.createDataFrame([(k, 100, k, b"\x00" * 63 + bytes([k])) for k in (1, 2, 3)], "k long, n long, rep long, bitmap binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 2)], "ka long, kb long")
+    possible = ngram_join._possible(pairs, sets, 98)
+    assert sorted(tuple(r) for r in possible.collect()) == [(1, 2, 100, 100, 1, 2), (1, 3, 100, 100, 1, 3)]
+    assert ngram_join._possible(pairs.limit(0), sets, 98).isEmpty()
+    assert "ArrowEvalPython" not in possible._jdf.queryExecution().toString()

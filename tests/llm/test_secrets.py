@@ -99,3 +99,13 @@ def test_very_many_candidates_in_one_text(spark, forest):
     few, _, _ = scan(10_000)
     many, ok, seconds = scan(100_000)
     assert few > 5_000 and many > 9 * few and ok and seconds < 60
+
+
+def test_training_takes_no_python_worker(spark, monkeypatch):
+    forest = s.train(spark)
+
+    def refuse(*_):
+        raise AssertionError("rows that Python workers unpickle")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert s.train(spark) == forest

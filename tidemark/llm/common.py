@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Files of a table and of a small one, for each core.
 FILES = 8, 4
+#: Rows and bytes of a batch that goes to a Python worker or comes from one, at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, rows go to Python in batches of bounded size: executors hold each batch outside their heap, in a
+    buffer that doubles as it fills, and workers hold it as Arrow, as Python strings and as bytes."""
+    before = {key: spark.conf.get(key, None) for key in BATCHES}
+    try:
+        for key, most in BATCHES.items():
+            now = str(before[key] or "").lower()
+            if not now.isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system; workers stay between tasks, with all they keep."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
@@ -35,7 +68,8 @@ def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     from) to still fewer; a task then makes its partitions one after the other, with the memory of one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(max(16, FILES[small] * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    with small_batches(spark):
+        df.coalesce(max(16, FILES[small] * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

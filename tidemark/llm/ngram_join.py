@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, materialise
+from tidemark.llm.common import forget, give_back, materialise
 from tidemark.llm.graph import connected_components
 from tidemark.llm.shingles import N_WORDS, all_shingle_sets, mix
 
@@ -163,6 +163,8 @@ def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
         if common:
             found = pd.concat(common).groupby("k1", as_index=False)["n"].sum()
             yield _frame([(1, None, 0, n, h, 0, None, None) for h, n in zip(found["k1"], found["n"], strict=True)])
+        held, common = [], []
+        give_back()
 
     def _frame(out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["kind", "doc_id", "t", "n", "k1", "k2", "bitmap", "sketch"])
@@ -242,6 +244,8 @@ def _incidence(docs: DataFrame, ranks, n_blocks: int, percent: int, n_words: int
                     held, size = [], 0
         if held:
             yield flush()
+        held = []
+        give_back()
 
     return docs.select("text").mapInPandas(rows, "block int, payload binary")
 
@@ -328,6 +332,7 @@ def _first_pairs(columns: DataFrame, seeds: tuple[int, ...], percent: int) -> Da
                 found = _Found(percent)
                 yield from _with_hubs(_unpack(payload), None, seeds, found)
                 yield found.frame()
+        give_back()
 
     return columns.mapInPandas(rows, _PAIR).union(_hubs_of_parts(columns, seeds, percent))
 
@@ -389,6 +394,7 @@ def _in_blocks(columns: DataFrame, own: DataFrame, rows, schema: str) -> DataFra
             data += batch["payload"][is_data].tolist()
             known.append(batch.loc[~is_data, ["k", "g", "sketch"]])
         yield from rows(key[0], np.concatenate([_unpack(x) for x in data]), pd.concat(known))
+        give_back()
 
     return blocks.unionByName(own.withColumn("payload", F.lit(None).cast("binary"))).groupBy("block").applyInPandas(gathered, schema)
 
@@ -515,13 +521,17 @@ def _tiles(columns: DataFrame, groups: DataFrame | None, sets: DataFrame, percen
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs, each once, whose whole bitmaps differ in few enough bits, with sizes and documents."""
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
-        each = np.arange(len(a))
-        return pd.Series(_near(_Bitmaps(a).apart(each, _Bitmaps(b), each), total.to_numpy(), percent))
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            each = np.arange(len(batch))
+            apart = _Bitmaps(batch["bitmap_a"]).apart(each, _Bitmaps(batch["bitmap_b"]), each)
+            yield batch.loc[_near(apart, (batch["na"] + batch["nb"]).to_numpy(), percent), columns]
+        give_back()
 
+    # not a filter by a UDF: that keeps each partition's rows in a memory page until the task ends, and a task makes many partitions
+    columns = ["ka", "kb", "na", "nb", "rep_a", "rep_b"]
     side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "bitmap")))
-    return pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(near("bitmap_a", "bitmap_b", F.col("na") + F.col("nb"))).select("ka", "kb", "na", "nb", "rep_a", "rep_b")
+    return pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").select(*columns, "bitmap_a", "bitmap_b").mapInPandas(near, ", ".join(f"{c} long" for c in columns))
 
 
 def _overlaps(docs: DataFrame, pairs: DataFrame, percent: int, n_words: int, turn: int) -> DataFrame:

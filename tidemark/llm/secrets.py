@@ -208,7 +208,11 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 15, depth: int = 6, leaf: in
 
 def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
     """Grow the forest on labelled findings (candidate, before, after, label), a bounded list."""
-    rows = spark.createDataFrame(findings or labelled_findings(), "c string, before string, after string, label int")
+    import pyarrow as pa
+
+    columns = zip(("c", "before", "after", "label"), zip(*(findings or labelled_findings()), strict=True), strict=True)
+    # a list would come from an RDD that Python workers of their own unpickle, and these stay on the executors
+    rows = spark.createDataFrame(pa.table({name: list(x) for name, x in columns})).withColumn("label", F.col("label").cast("int"))
     got = rows.select(_features(F.col("c"), F.col("before"), F.col("after")).alias("f"), "label").collect()
     return grow(np.array([tuple(r["f"]) for r in got]), np.array([r["label"] for r in got], float))
 
